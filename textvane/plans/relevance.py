@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import bayes, ensemble, tables as T
+from ..operators import bayes, ensemble, linear, tables as T
 from ..operators.numbering import number_rows
 from ..operators.skew import hot_values
+from ..session import stage
 from . import roles as R
 from .roles import table
 
@@ -106,10 +107,7 @@ def weighted_scores(spark, sf_dir):
 
 def rank_scores(spark, sf_dir):
     """Each user's items by tf-idf, by bag of words and by weighted score, best first."""
-    # Four places: a tie in SQL is then a tie here.
-    out = weighted_scores(spark, sf_dir).select(
-        "user", "item", *[F.round(c, 4).alias(c) for c in ("tfidf", "bow", "weighted")]
-    )
+    out = weighted_scores(spark, sf_dir).select("user", "item", "tfidf", "bow", "weighted")
     for c in ("tfidf", "bow", "weighted"):
         out = number_rows(out, [F.desc(c), F.col("item")], ["user"], f"rank_{c}")
     return out.select("user", "item", "rank_tfidf", "rank_bow", "rank_weighted")
@@ -127,7 +125,48 @@ def score_lookup(spark, sf_dir):
     return out.select("user", "item", F.round("p_1", 6).alias("p"))
 
 
+def _linear(spark, sf_dir):
+    labels, items = _labels(spark, sf_dir), R.items(spark, sf_dir)
+    counts = R.item_bow_words(items)
+    rows = stage(linear.with_folds(bayes.training_examples(labels, counts)), "linear_rows")
+    return linear.fit_linear(rows), rows, counts, T.unlabelled(labels.select("user"), items, labels)
+
+
+def linear_scores(spark, sf_dir):
+    weights, _, counts, pairs = _linear(spark, sf_dir)
+    hot = hot_values(R.item_tokens(R.items(spark, sf_dir)), "word")
+    return linear.score_linear(weights, pairs, counts, hot)
+
+
+def bow_scores(spark, sf_dir):
+    return linear_scores(spark, sf_dir).select("user", "item", F.round("bow", 6).alias("p"))
+
+
+def tfidf_scores(spark, sf_dir):
+    return linear_scores(spark, sf_dir).select("user", "item", F.round("tfidf", 6).alias("p"))
+
+
+def ensemble_scores(spark, sf_dir):
+    """All three models fitted, weighed by their held-out errors and applied to unlabelled items."""
+    weights, rows, counts, pairs = _linear(spark, sf_dir)
+    hot = hot_values(R.item_tokens(R.items(spark, sf_dir)), "word")
+    examples = training_examples(spark, sf_dir)
+    model = bayes.fit(examples)
+    held = linear.held_out_linear(weights, rows).join(
+        bayes.leave_one_out(model, examples, hot).select("user", "item", F.col("p_1").alias("nb")), ["user", "item"]
+    )
+    shares = ensemble.ensemble_weights(held)
+    scores = linear.score_linear(weights, pairs, counts, hot).join(
+        bayes.score(model, pairs, _counts(spark, sf_dir), hot).select("user", "item", F.col("p_1").alias("nb")),
+        ["user", "item"],
+    )
+    return ensemble.ensemble_scores(scores, shares)
+
+
 QUERIES = {
+    "bow_scores": bow_scores,
+    "tfidf_scores": tfidf_scores,
+    "ensemble_scores": ensemble_scores,
     "training_examples": training_examples,
     "nb_stats": nb_stats,
     "nb_word_counts": nb_word_counts,
@@ -233,9 +272,9 @@ from ({SQL_NB}) join documents on doc_id = item where "user" = 'quality'""",
     "ensemble_weights": f"with {SQL_WEIGHTS} select * from weights",
     "weighted_scores": SQL_WEIGHTED,
     "rank_scores": f"""
-select "user", item, row_number() over (partition by "user" order by round(tfidf, 4) desc, item) as rank_tfidf,
-       row_number() over (partition by "user" order by round(bow, 4) desc, item) as rank_bow,
-       row_number() over (partition by "user" order by round(weighted, 4) desc, item) as rank_weighted
+select "user", item, row_number() over (partition by "user" order by tfidf desc, item) as rank_tfidf,
+       row_number() over (partition by "user" order by bow desc, item) as rank_bow,
+       row_number() over (partition by "user" order by weighted desc, item) as rank_weighted
 from ({SQL_WEIGHTED})""",
     "score_lookup": f"""with {SQL_MODEL}, {_sql_score(_ASKED)} select "user", item, round(p_1, 6) as p from scored""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import TOKEN_CLASS, or_empty_token, words
+from ..functions.text import TOKEN_CLASS, bow_tokens, or_empty_token, words
 from ..sources.tables import read_table
 
 # Value above which an event counts as a positive label.
@@ -63,6 +63,12 @@ def item_words(source: DataFrame) -> DataFrame:
     return tokens.groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def item_bow_words(source: DataFrame) -> DataFrame:
+    """(item, word, n) of the blank-joined tokens, as the linear models read them."""
+    tokens = bow_tokens(F.array_join(words(F.col("text")), " "))
+    return source.select("item", F.explode(tokens).alias("word")).groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 # The same roles in SQL.
 SQL_EVENT_LABELS = f"""
 select user_id as "user", event_type as item, epoch_us(ts) // 1000 as "time",
