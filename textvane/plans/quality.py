@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate as E
 from . import relevance
+from .roles import table
+from .vectors import SQL_NEAREST, nearest_centroid
 from .relevance import SQL_LOO
 
 
@@ -27,8 +29,6 @@ def binary_metrics(spark, sf_dir):
 
 def confusion_matrix(spark, sf_dir):
     """Nearest per-label mean against the true label of every embedding."""
-    from .vectors import nearest_centroid, table
-
     near = nearest_centroid(spark, sf_dir).select("vec_id", F.col("cluster").alias("actual"))
     truth = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("expected"))
     return E.confusion_matrix(near.join(truth, "vec_id"))
@@ -60,6 +60,8 @@ _RATIOS = """round(case when true_pos + false_pos > 0 then true_pos / (true_pos
 _LOSS = "greatest(5e-7, least(1 - 5e-7, cast(label as double))) * greatest(5e-7, least(1 - 5e-7, p))"
 
 SQL = {
+    "confusion_matrix": f"""
+select label as expected, cluster as actual, count(*) as n from ({SQL_NEAREST}) join embeddings using (vec_id) group by 1, 2""",
     "prediction_loss": f"""
 select "user", round(avg((cast(label as double) - p) ** 2), 6) as mse, round(avg(2 * ln(1 + exp(-2 * {_LOSS}))), 6) as log_loss
 from ({SQL_LOO}) group by "user" """,
