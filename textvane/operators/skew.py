@@ -78,11 +78,11 @@ def grid(few: DataFrame, many: DataFrame, literal_rows: int = LITERAL_ROWS, slic
     cells_few = few.select(
         "*",
         F.pmod(F.xxhash64(*few.columns), F.lit(blocks)).alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("_slice"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("_slice"),
     )
     cells_many = many.select(
         "*",
         F.pmod(F.xxhash64(*many.columns), F.lit(slices)).alias("_slice"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("_block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"),
     )
     return cells_few.join(cells_many, ["_block", "_slice"]).select(*few.columns, *many.columns)

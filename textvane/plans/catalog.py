@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("relational", "words", "spelled", "relevance", "quality", "vectors")
+AREAS = ("relational", "words", "spelled", "relevance", "quality", "vectors", "pages", "streams")
 
 
 def _merged(attribute: str) -> dict:

@@ -1,0 +1 @@
+"""Incremental refresh: streams folded into tables."""
