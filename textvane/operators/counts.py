@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import bow_tokens, words
 from .numbering import number_distinct
 from .skew import salted_join
 
@@ -26,9 +27,31 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.least(F.sum("cnt"), F.lit(COUNT_MAX).cast("bigint")).alias("cnt"))
 
 
+def by_item(source: DataFrame) -> DataFrame:
+    """Texts placed by item; nothing is moved where they already are."""
+    return source.repartition("item")
+
+
+def item_words(source: DataFrame) -> DataFrame:
+    """(item, word, n) of every (item, text), one empty word for a text without words.
+
+    The texts are placed by item, so that counting needs no shuffle of the tokens.
+    """
+    tokens = by_item(source).select("item", F.explode_outer(words(F.col("text"))).alias("word"))
+    tokens = tokens.select("item", F.coalesce("word", F.lit("")).alias("word"))
+    return tokens.groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def item_bow_words(source: DataFrame) -> DataFrame:
+    """(item, word, n) of the blank-joined tokens, as the linear models read them."""
+    tokens = bow_tokens(F.array_join(words(F.col("text")), " "))
+    counted = by_item(source).select("item", F.explode(tokens).alias("word")).groupBy("item", "word")
+    return counted.agg(F.count(F.lit(1)).alias("n"))
+
+
 def term_counts(source: DataFrame, tokens_column: str) -> DataFrame:
     """(item, word, n) from an array column of tokens."""
-    exploded = source.select("item", F.explode(tokens_column).alias("word"))
+    exploded = by_item(source).select("item", F.explode(tokens_column).alias("word"))
     return exploded.groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -40,13 +63,13 @@ def vocab_index(words: DataFrame, sentinels: Iterable[str] = ("DEFAULT",)) -> Da
     return number_distinct(words.select("word").unionByName(extra).distinct(), "word", "idx")
 
 
-def tfidf(counts: DataFrame, hot: list | None = None) -> DataFrame:
+def tfidf(counts: DataFrame, n_items: int | None = None, hot: list | None = None) -> DataFrame:
     """(item, word, n, tfidf) with weight n * ln(N / df) over the items of `counts`.
 
     `counts` has one row per (item, word), so a document frequency is a plain count.
     """
     df_rows = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n_items = counts.select(F.countDistinct("item")).first()[0]
+    n_items = counts.select(F.countDistinct("item")).first()[0] if n_items is None else n_items
     # A word occurs once per item here: the hot words are those in many items.
     joined = salted_join(counts, df_rows, ["word"], "word", ["item"], "inner", hot)
     weight = F.col("n") * F.log(F.lit(float(n_items)) / F.col("df"))

@@ -13,6 +13,19 @@ SALTS = 32
 LITERAL_ROWS = 1000
 
 
+def spread(df: DataFrame, key: str, per_task: int = 4 << 20) -> DataFrame:
+    """Put a small input on all cores before costly per-row work.
+
+    A file of one row group is read by one task however many cores there are. An input
+    estimated above `per_task` bytes per core already has enough splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > per_task * cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Values of `key` that hold at least `share` of the rows, by one mergeable sketch.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import bayes, ensemble, linear, tables as T
+from ..operators.counts import item_bow_words, item_words
 from ..operators.numbering import number_rows
 from ..operators.skew import hot_values
 from ..session import stage
@@ -13,7 +14,12 @@ from .roles import table
 
 
 def _counts(spark, sf_dir) -> DataFrame:
-    return R.item_words(R.items(spark, sf_dir))
+    return stage(item_words(R.items(spark, sf_dir)), "item_words")
+
+
+def _labelled(spark, sf_dir, labels: DataFrame) -> DataFrame:
+    """The items that carry a label: the others need not be tokenised for training."""
+    return R.items(spark, sf_dir).join(labels.select("item").distinct(), "item", "left_semi")
 
 
 def _labels(spark, sf_dir) -> DataFrame:
@@ -21,7 +27,8 @@ def _labels(spark, sf_dir) -> DataFrame:
 
 
 def training_examples(spark, sf_dir):
-    return bayes.training_examples(_labels(spark, sf_dir), _counts(spark, sf_dir))
+    labels = _labels(spark, sf_dir)
+    return bayes.training_examples(labels, item_words(_labelled(spark, sf_dir, labels)))
 
 
 def nb_stats(spark, sf_dir):
@@ -39,9 +46,7 @@ def _nb(spark, sf_dir, users: list[str] | None = None) -> DataFrame:
     counts = _counts(spark, sf_dir)
     pairs = T.unlabelled(labels.select("user"), R.items(spark, sf_dir), labels)
     model = bayes.fit(bayes.training_examples(labels, counts))
-    # The words of many items are the hot keys; the raw texts tell them without a join.
-    hot = hot_values(R.item_tokens(R.items(spark, sf_dir)), "word")
-    return bayes.score(model, pairs, counts, hot)
+    return bayes.score(model, pairs, counts)
 
 
 def nb_scores(spark, sf_dir):
@@ -62,7 +67,7 @@ def relevant_items(spark, sf_dir):
 
 
 def nb_leave_one_out(spark, sf_dir):
-    examples = training_examples(spark, sf_dir)
+    examples = stage(training_examples(spark, sf_dir), "examples")
     out = bayes.leave_one_out(bayes.fit(examples), examples)
     return out.select("user", "item", "label", F.round("p_1", 6).alias("p"))
 
@@ -127,15 +132,14 @@ def score_lookup(spark, sf_dir):
 
 def _linear(spark, sf_dir):
     labels, items = _labels(spark, sf_dir), R.items(spark, sf_dir)
-    counts = R.item_bow_words(items)
+    counts = stage(item_bow_words(items), "bow_words")
     rows = stage(linear.with_folds(bayes.training_examples(labels, counts)), "linear_rows")
     return linear.fit_linear(rows), rows, counts, T.unlabelled(labels.select("user"), items, labels)
 
 
 def linear_scores(spark, sf_dir):
     weights, _, counts, pairs = _linear(spark, sf_dir)
-    hot = hot_values(R.item_tokens(R.items(spark, sf_dir)), "word")
-    return linear.score_linear(weights, pairs, counts, hot)
+    return linear.score_linear(weights, pairs, counts)
 
 
 def bow_scores(spark, sf_dir):
@@ -149,15 +153,16 @@ def tfidf_scores(spark, sf_dir):
 def ensemble_scores(spark, sf_dir):
     """All three models fitted, weighed by their held-out errors and applied to unlabelled items."""
     weights, rows, counts, pairs = _linear(spark, sf_dir)
-    hot = hot_values(R.item_tokens(R.items(spark, sf_dir)), "word")
-    examples = training_examples(spark, sf_dir)
+    plain = _counts(spark, sf_dir)
+    hot = hot_values(plain, "word")
+    examples = stage(bayes.training_examples(_labels(spark, sf_dir), plain), "examples")
     model = bayes.fit(examples)
     held = linear.held_out_linear(weights, rows).join(
         bayes.leave_one_out(model, examples, hot).select("user", "item", F.col("p_1").alias("nb")), ["user", "item"]
     )
     shares = ensemble.ensemble_weights(held)
     scores = linear.score_linear(weights, pairs, counts, hot).join(
-        bayes.score(model, pairs, _counts(spark, sf_dir), hot).select("user", "item", F.col("p_1").alias("nb")),
+        bayes.score(model, pairs, plain, hot).select("user", "item", F.col("p_1").alias("nb")),
         ["user", "item"],
     )
     return ensemble.ensemble_scores(scores, shares)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import TOKEN_CLASS, bow_tokens, or_empty_token, words
+from ..functions.text import TOKEN_CLASS, words
+from ..operators.skew import spread
 from ..sources.tables import read_table
 
 # Value above which an event counts as a positive label.
@@ -24,7 +25,7 @@ def millis(ts: Column) -> Column:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, text) from documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text"), "item")
 
 
 def event_labels(spark: SparkSession, sf_dir: str, threshold: float = LIKED) -> DataFrame:
@@ -57,18 +58,6 @@ def item_tokens(source: DataFrame) -> DataFrame:
     return source.select("item", F.posexplode(words(F.col("text"))).alias("pos", "word"))
 
 
-def item_words(source: DataFrame) -> DataFrame:
-    """(item, word, n) of every text, as the models read it."""
-    tokens = source.select("item", F.explode(or_empty_token(words(F.col("text")))).alias("word"))
-    return tokens.groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def item_bow_words(source: DataFrame) -> DataFrame:
-    """(item, word, n) of the blank-joined tokens, as the linear models read them."""
-    tokens = bow_tokens(F.array_join(words(F.col("text")), " "))
-    return source.select("item", F.explode(tokens).alias("word")).groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
-
-
 # The same roles in SQL.
 SQL_EVENT_LABELS = f"""
 select user_id as "user", event_type as item, epoch_us(ts) // 1000 as "time",

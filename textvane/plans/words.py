@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import BOW_PUNCTUATION, FREQ_WORD_CLASS, WORD_CLASS, bow_tokens, or_empty_token, words
 from ..operators import counts as C, lexicon as L
+from ..operators.skew import spread
+from ..session import stage
 from . import roles as R
 from .roles import table
 
@@ -16,16 +18,22 @@ STEM = 6
 
 def word_documents(spark, sf_dir) -> DataFrame:
     """(word, cnt, df): tokens and documents of each word."""
-    per_item = R.item_tokens(R.items(spark, sf_dir)).groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
+    per_item = C.item_words(R.items(spark, sf_dir)).filter(F.col("word") != "")
     return per_item.groupBy("word").agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("df"))
 
 
-def dictionary(spark, sf_dir) -> DataFrame:
+def staged_words(spark, sf_dir) -> DataFrame:
+    """word_documents written once, for queries that read it several times."""
+    return stage(word_documents(spark, sf_dir), "word_documents")
+
+
+def dictionary(spark, sf_dir, counted: DataFrame | None = None) -> DataFrame:
     """(base, full, clazz, line_no): words of MIN_DOCUMENTS documents.
 
     Base form: the shortest word with the same first letters, of equal length the first one.
     """
-    known = word_documents(spark, sf_dir).filter(F.col("df") >= MIN_DOCUMENTS).select(F.col("word").alias("full"))
+    counted = staged_words(spark, sf_dir) if counted is None else counted
+    known = counted.filter(F.col("df") >= MIN_DOCUMENTS).select(F.col("word").alias("full"))
     stem = F.when(F.length("full") >= STEM, F.substring("full", 1, STEM)).otherwise(F.col("full"))
     known = known.withColumn("stem", stem)
     bases = known.groupBy("stem").agg(F.min(F.struct(F.length("full"), "full")).alias("b"))
@@ -67,7 +75,7 @@ def merge_counts(spark, sf_dir):
 
 
 def _part_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word"))
+    return R.item_tokens(R.items(spark, sf_dir)).select("word")
 
 
 def vocab_index(spark, sf_dir):
@@ -80,7 +88,8 @@ def term_counts(spark, sf_dir):
 
 
 def tfidf(spark, sf_dir):
-    weights = C.tfidf(R.item_words(R.items(spark, sf_dir)))
+    items = R.items(spark, sf_dir)
+    weights = C.tfidf(stage(C.item_words(items), "item_words"), items.count())
     return weights.select("item", "word", "n", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -89,28 +98,32 @@ def stopword_candidates(spark, sf_dir):
     return C.stopword_candidates(tfidf(spark, sf_dir))
 
 
-def _frequency_lines(spark, sf_dir):
+def _frequency_lines(counts: DataFrame) -> DataFrame:
     """`count word` lines, most frequent first; line_no orders them."""
-    counts = word_documents(spark, sf_dir)
     return counts.select(
         F.concat(F.lit("   "), "cnt", F.lit(" "), "word").alias("line"),
         F.struct((-F.col("cnt")).alias("neg"), F.col("word").alias("w")).alias("line_no"),
     )
 
 
+def _listed(spark, sf_dir) -> DataFrame:
+    counted = staged_words(spark, sf_dir)
+    return L.parse_frequency_list(_frequency_lines(counted), L.lemma_table(dictionary(spark, sf_dir, counted)))
+
+
 def freq_list_parse(spark, sf_dir):
-    listed = L.parse_frequency_list(_frequency_lines(spark, sf_dir), L.lemma_table(dictionary(spark, sf_dir)))
+    listed = _listed(spark, sf_dir)
     return listed.select((-F.col("line_no.neg")).alias("cnt"), F.col("line_no.w").alias("listed"), "word")
 
 
 def top_words(spark, sf_dir):
-    listed = L.parse_frequency_list(_frequency_lines(spark, sf_dir), L.lemma_table(dictionary(spark, sf_dir)))
-    return C.top_words(listed)
+    return C.top_words(_listed(spark, sf_dir))
 
 
 def _dictionary_lines(spark, sf_dir):
     """Lines of raw neighbouring words: id TAB base TAB full TAB class."""
-    raw = table(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", r"[ \t\n]+").alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    raw = docs.select("doc_id", "lang", F.split("text", r"[ \t\n]+").alias("w"))
     pairs = raw.select("doc_id", "lang", F.explode(F.arrays_zip(F.col("w").alias("b"), F.slice("w", 2, F.size("w")).alias("f"))).alias("p"))
     line = F.concat_ws("\t", "doc_id", "p.b", "p.f", F.concat("lang", F.lit(" normert")))
     return pairs.filter(F.col("p.f").isNotNull()).select(line.alias("line"), F.col("doc_id").alias("line_no"))
