@@ -32,11 +32,6 @@ def bow_tokens(text: Column, stopwords: Iterable[str] = ()) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(stop))
 
 
-def or_empty_token(tokens: Column) -> Column:
-    """What splitting the blank-joined tokens gives: one empty token when there are none."""
-    return F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(tokens)
-
-
 def snake_case(name: Column) -> Column:
     """announcementDate -> announcement_date."""
     return F.lower(F.regexp_replace(name, r"(?<!^)([A-Z\d])", "_$1"))

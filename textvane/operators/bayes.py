@@ -78,11 +78,15 @@ def score(model: NaiveBayes, pairs: DataFrame, counts: DataFrame, hot: list | No
     base = base.select(
         "user", "item", *[start(i).alias(f"s_{i}") for i in places], *[F.col(f"docs_{i}").alias(f"d_{i}") for i in places]
     )
-    seen = salted_join(counts, model.words, ["word"], "word", ["item"], "inner", hot)
+    # The logarithm is taken once per model word, before the words meet the tokens.
+    gains = model.words.select(
+        "user", "word", *[(F.log(F.col(f"wc_{i}") + WORD_SMOOTHING) - unseen).alias(f"g_{i}") for i in places]
+    )
+    seen = salted_join(counts, gains, ["word"], "word", ["item"], "inner", hot)
     seen = seen.select(
         "user",
         "item",
-        *[(F.col("n") * (F.log(F.col(f"wc_{i}") + WORD_SMOOTHING) - unseen)).alias(f"s_{i}") for i in places],
+        *[(F.col("n") * F.col(f"g_{i}")).alias(f"s_{i}") for i in places],
         *[F.lit(None).cast("bigint").alias(f"d_{i}") for i in places],
     )
     sums = base.unionByName(seen).groupBy("user", "item").agg(

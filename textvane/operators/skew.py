@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is hot when it holds at least this share of the rows: so at most 100 keys can be hot.
-HOT_SHARE = 0.01
+# A key is hot when it holds at least this share of the rows: so at most 500 keys can be hot.
+HOT_SHARE = 0.002
 SALTS = 32
 # Up to this many rows one side of a grid travels as a literal array.
 LITERAL_ROWS = 1000

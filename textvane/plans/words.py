@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import BOW_PUNCTUATION, FREQ_WORD_CLASS, WORD_CLASS, bow_tokens, or_empty_token, words
+from ..functions.text import BOW_PUNCTUATION, FREQ_WORD_CLASS, WORD_CLASS, bow_tokens, words
 from ..operators import counts as C, lexicon as L
 from ..operators.skew import spread
 from ..session import stage
