@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +14,7 @@ from ..functions.vectors import DISTANCES, doubles, total
 from .skew import grid
 
 MAX_K = 10
+FITS_AT_ONCE = 4
 # Up to this many numbers the centres travel inside the plan.
 LITERAL_NUMBERS = 200_000
 # Fixed value: how far a cluster's share of label 1 is kept from 0 and 1.
@@ -144,7 +148,7 @@ def select_k(dispersions: DataFrame, dimensions: int, max_k: int = MAX_K) -> Dat
 def fit_kmeans(points: DataFrame, max_k: int = MAX_K, seed: int = 42, distance: str = "euclidean"):
     """(table of select_k, centroids of the chosen K as (cluster, center)) of (id, vector).
 
-    K = 1 is the mean of all points; larger ones are fitted by Spark ML.
+    K = 1 is the mean of all points; larger ones are fitted by Spark ML, a few at a time.
     """
     spark = points.sparkSession
     vectors = points.select(array_to_vector(F.col("vector")).alias("features")).persist()
@@ -156,10 +160,16 @@ def fit_kmeans(points: DataFrame, max_k: int = MAX_K, seed: int = 42, distance:
             raise ValueError("no points to cluster")
         spread = dispersion(points.select(F.lit(1).alias("k"), F.lit(0).alias("cluster"), "vector")).first()
         found, centers = [(1, float(spread["dispersion"]))], {1: [list(one["center"])]}
-        for k in range(2, top + 1):
+
+        def fit(k: int):
             model = KMeans(k=k, seed=seed, distanceMeasure=distance).fit(vectors)
-            found.append((k, float(model.summary.trainingCost)))
-            centers[k] = [c.tolist() for c in model.clusterCenters()]
+            return k, float(model.summary.trainingCost), [c.tolist() for c in model.clusterCenters()]
+
+        # The fits are independent and many of their jobs are short: some run side by side.
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            for k, cost, center in pool.map(inheritable_thread_target(spark)(fit), range(2, top + 1)):
+                found.append((k, cost))
+                centers[k] = center
     finally:
         vectors.unpersist()
     table = select_k(spark.createDataFrame(found, "k int, dispersion double"), len(centers[1][0]), max_k)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import BOW_PUNCTUATION, FREQ_WORD_CLASS, WORD_CLASS, bow_tokens, words
 from ..operators import counts as C, lexicon as L
+from ..operators.numbering import number_rows
 from ..operators.skew import spread
-from ..session import stage
+from ..session import new_path, stage
+from ..sources.textfiles import read_lines, write_lines
 from . import roles as R
 from .roles import table
 
@@ -98,22 +100,17 @@ def stopword_candidates(spark, sf_dir):
     return C.stopword_candidates(tfidf(spark, sf_dir))
 
 
-def _frequency_lines(counts: DataFrame) -> DataFrame:
-    """`count word` lines, most frequent first; line_no orders them."""
-    return counts.select(
-        F.concat(F.lit("   "), "cnt", F.lit(" "), "word").alias("line"),
-        F.struct((-F.col("cnt")).alias("neg"), F.col("word").alias("w")).alias("line_no"),
-    )
-
-
 def _listed(spark, sf_dir) -> DataFrame:
+    """A frequency list in an 8-bit charset, most frequent word first, read and mapped to lemmas."""
     counted = staged_words(spark, sf_dir)
-    return L.parse_frequency_list(_frequency_lines(counted), L.lemma_table(dictionary(spark, sf_dir, counted)))
+    ordered = counted.orderBy(F.desc("cnt"), "word")
+    path = new_path(spark, "frequency-list")
+    write_lines(ordered.select(F.concat(F.lit("   "), "cnt", F.lit(" "), "word")), path)
+    return L.parse_frequency_list(read_lines(spark, path), L.lemma_table(dictionary(spark, sf_dir, counted)))
 
 
 def freq_list_parse(spark, sf_dir):
-    listed = _listed(spark, sf_dir)
-    return listed.select((-F.col("line_no.neg")).alias("cnt"), F.col("line_no.w").alias("listed"), "word")
+    return number_rows(_listed(spark, sf_dir), [F.col("line_no")], name="place").select("place", "word")
 
 
 def top_words(spark, sf_dir):
@@ -171,7 +168,7 @@ with c as ({R.SQL_ITEM_WORDS}), total as (select count(distinct item) as n_items
 d as (select word, count(*) as df from c group by word)
 select item, c.word, n, round(n * ln(n_items / df), 6) as tfidf from c join d using (word), total"""
 SQL_FREQ = f"""
-select cnt, listed, coalesce(base, parsed) as word from (
+select row_number() over (order by cnt desc, listed) as place, coalesce(base, parsed) as word from (
   select cnt, word as listed, regexp_extract(word, '^{FREQ_WORD_CLASS}+') as parsed from ({SQL_WORD_DOCUMENTS}))
 left join ({SQL_DICTIONARY}) on "full" = parsed
 where parsed <> ''"""
@@ -198,7 +195,7 @@ select item, word, count(*) as n from (select doc_id as item, unnest({SQL_BOW})
     "stopword_candidates": f"""
 select word, min(tfidf) as least from ({SQL_TFIDF}) group by word order by least desc, word limit 30""",
     "freq_list_parse": SQL_FREQ,
-    "top_words": f"select distinct word from (select word from ({SQL_FREQ}) order by cnt desc, listed limit 64)",
+    "top_words": f"select distinct word from (select word from ({SQL_FREQ}) order by place limit 64)",
     "dictionary_parse": f"""
 with raw as (select doc_id, lang, regexp_split_to_array(text, '[ \\t\\n]+') as w from documents),
 pairs as (select doc_id, lang, unnest(w[:len(w) - 1]) as b, unnest(w[2:]) as f from raw)

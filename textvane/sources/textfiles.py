@@ -29,6 +29,19 @@ def read_lines(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> D
     return lines.select("line", place.alias("line_no")).filter(F.col("line").isNotNull())
 
 
+def write_lines(lines: DataFrame, path: str, charset: str = "ISO-8859-1") -> None:
+    """Write a one-column table as text files in the given charset, in row order."""
+    (
+        lines.write.option("encoding", charset)
+        .option("sep", "\u0001")
+        .option("quote", "")
+        .option("escape", "")
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
+        .csv(path)
+    )
+
+
 def read_labelled_dirs(spark: SparkSession, path: str) -> DataFrame:
     """(label, text): whole files, labelled with the name of their directory."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
