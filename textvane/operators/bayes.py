@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .skew import hot_values, salted_join
+from .tables import LABELS
 
 # The smoothing of word and class counts (the latter is added twice).
 WORD_SMOOTHING = 0.05
 CLASS_SMOOTHING = 0.01
-LABELS = ("0", "1")
 
 
 @dataclass

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .skew import grid
 
 EVENT_KEY = ("user", "item", "time")
+# Not interesting, interesting.
+LABELS = ("0", "1")
 
 
 def one_per_key(df: DataFrame, key: Sequence[str], latest_by: Sequence[str]) -> DataFrame:
@@ -43,17 +45,24 @@ def union_events(*events: DataFrame) -> DataFrame:
     return one_per_key(both, EVENT_KEY, ["label"])
 
 
-def latest_labels(events: DataFrame) -> DataFrame:
-    """The newest label of each (user, item); of equal times the greatest label."""
-    return (
-        events.groupBy("user", "item")
-        .agg(F.max(F.struct("time", "label")).alias("_last"))
-        .select("user", "item", F.col("_last.label").alias("label"), F.col("_last.time").alias("time"))
+def latest_labels(events: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """The newest label of each (user, item); of equal times the greatest label.
+
+    Events are valid ones: see split_labels. One newest time per label is kept, so the
+    aggregation is a hash aggregation over plain numbers.
+    """
+    ranked = sorted(labels, reverse=True)
+    per_pair = events.groupBy("user", "item").agg(
+        *[F.max(F.when(F.col("label") == y, F.col("time"))).alias(f"_t{i}") for i, y in enumerate(ranked)]
     )
+    newest = F.greatest(*[F.col(f"_t{i}") for i in range(len(ranked))])
+    label = F.coalesce(*[F.when(F.col(f"_t{i}") == newest, F.lit(y)) for i, y in enumerate(ranked)])
+    out = per_pair.select("user", "item", label.alias("label"), newest.alias("time"))
+    return out.filter(F.col("label").isNotNull())
 
 
 def valid_label(label: Column) -> Column:
-    return label.cast("string").isin("0", "1")
+    return label.cast("string").isin(*LABELS)
 
 
 def split_labels(events: DataFrame, message: str = "Label must be 0 or 1") -> DataFrame:
