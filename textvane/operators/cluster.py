@@ -10,7 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import DISTANCES, doubles, total
+from ..functions.vectors import DISTANCES, total
 from .skew import grid
 
 MAX_K = 10
