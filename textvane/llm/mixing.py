@@ -20,7 +20,7 @@ from ..session import stage
 WORD = "[^\\x20\\x09-\\x0D]+"
 MOST_REPEATS = 3
 # Sums over a source's blocks are taken in groups of this many blocks, then over the groups.
-GROUP = 512
+GROUP = 64
 
 
 @dataclass(frozen=True)

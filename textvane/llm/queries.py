@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import mixing, quality, urls
+from . import mixing, packing, quality, tokencounts, urls
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
 
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the packed sequences."""
+    packed = packing.pack(read_table(spark, sf_dir, "documents"), payload=F.crc32)
+    return packed.withColumnRenamed("payload", "ids_crc32")
+
+
+def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return tokencounts.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -30,6 +41,8 @@ def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": mixing_query,
     "op4_quality_rules": quality_query,
+    "op7_packing": packing_query,
+    "op9_token_counts": token_query,
     "op10_url_filters": url_query,
 }
 
