@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import mixing, packing, quality, tokencounts, urls
+from . import jaccard, mixing, packing, quality, tokencounts, urls
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,11 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).docs.drop("source")
 
 
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document, linked from 90 % of three-word shingles on."""
+    return jaccard.linked_classes(read_table(spark, sf_dir, "documents"), jaccard.Rule(3, 90, 100))
+
+
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word measures, compression ratios and verdict of every document."""
     return quality.quality(read_table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": mixing_query,
+    "op2_ngram_jaccard": jaccard_query,
     "op4_quality_rules": quality_query,
     "op7_packing": packing_query,
     "op9_token_counts": token_query,
