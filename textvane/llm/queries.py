@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import jaccard, mixing, packing, quality, tokencounts, urls
+from . import automata, jaccard, mixing, packing, quality, suffixes, tokencounts, urls
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,16 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
 
+def automata_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in 13-word windows that an earlier document has."""
+    return automata.dedup(read_table(spark, sf_dir, "documents")).rows
+
+
+def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in 50-word windows that an earlier document has."""
+    return suffixes.dedup(read_table(spark, sf_dir, "documents")).rows
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in the packed sequences."""
     packed = packing.pack(read_table(spark, sf_dir, "documents"), payload=F.crc32)
@@ -47,7 +57,9 @@ QUERIES = {
     "op1_mixing": mixing_query,
     "op2_ngram_jaccard": jaccard_query,
     "op4_quality_rules": quality_query,
+    "op5_substring_dedup": automata_query,
     "op7_packing": packing_query,
+    "op8_suffix_array_dedup": suffix_query,
     "op9_token_counts": token_query,
     "op10_url_filters": url_query,
 }
