@@ -117,31 +117,32 @@ STRETCH = "anchor long, doc_id long, first long, at int, windows int, p1 long, p
 def _stretches(chosen: DataFrame, shape: Shape) -> DataFrame:
     """Stretches of (doc_id, a, keys, text) whose anchor is among `keys`."""
 
+    step = np.uint64(0xD1B54A32D192ED03)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in words.chunks(batch.column(3)):
                 part = batch.slice(lo, hi - lo)
-                ids, names = part.column(0).to_pylist(), part.column(1).to_pylist()
+                names = part.column(1).to_pylist()
                 w = words.split(part.column(3))
                 first, at, key = anchors(w, shape)
-                bound = np.searchsorted(first, w.first)
-                out: dict[str, list] = {n: [] for n in ("anchor", "doc_id", "first", "at", "windows", "p1", "p2", "passage")}
-                for i in np.flatnonzero(np.diff(bound)):
-                    if _name(w, i)[0] != names[i]:
-                        continue
-                    s, a, k = (x[bound[i]:bound[i + 1]] for x in (first, at, key))
-                    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                    end = np.append(begin[1:], len(a))
-                    wanted = np.isin(k[begin], np.asarray(part.column(2)[i].values).view(np.uint64))
-                    for x, y in zip(begin[wanted], end[wanted], strict=True):
-                        passage = w.text(s[x], s[y - 1] + shape.window)
-                        h = w.hash[s[x]:s[y - 1] + shape.window]
-                        p1, p2 = words.digest(words.mix(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-                        for name, value in (("anchor", int(k[x].view(np.int64))), ("doc_id", ids[i]), ("first", int(s[x] - w.first[i])),
-                                            ("at", int(a[x] - s[x])), ("windows", int(y - x)), ("p1", p1), ("p2", p2), ("passage", passage)):
-                            out[name].append(value)
-                kinds = {"at": pa.int32(), "windows": pa.int32(), "passage": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()], names=list(out))
+                row = w.row[first]
+                # A repeated id may bring another text; only the one with the class's digest counts.
+                right = np.array([w.first[i] < w.first[i + 1] and _name(w, i)[0] == names[i] for i in range(part.num_rows)], bool)
+                begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])) if len(at) else at
+                end = np.append(begin[1:], len(at)) if len(at) else at
+                lists = part.column(2)
+                asked = words.mix(np.asarray(lists.flatten()).view(np.uint64)
+                                  + np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets))).astype(np.uint64) * step)
+                wanted = np.isin(words.mix(key[begin] + row[begin].astype(np.uint64) * step), asked) & right[row[begin]]
+                begin, end = begin[wanted], end[wanted]
+                s, e = first[begin], first[end - 1] + shape.window
+                p1, p2 = words.spans(w.hash, s, e)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key[begin].view(np.int64)), part.column(0).take(pa.array(row[begin])), pa.array(s - w.first[row[begin]]),
+                    pa.array((at[begin] - s).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(p1), pa.array(p2),
+                    pa.array([w.text(x, y) for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()),
+                ], names=["anchor", "doc_id", "first", "at", "windows", "p1", "p2", "passage"])
 
     return chosen.select("doc_id", "a", "keys", "text").mapInArrow(cut, STRETCH)
 

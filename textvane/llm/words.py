@@ -138,3 +138,14 @@ def digest(values: np.ndarray) -> tuple[int, int]:
         a = mix(values ^ np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64)
         b = mix(values * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64)
     return int(a.astype(np.int64)), int(b.astype(np.int64))
+
+
+def spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit hashes of each run values[lo:hi], from differences of prefix sums."""
+    up, down = _powers(len(values))
+    out = []
+    for salt in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix(values ^ salt) * up[:len(values)], out=sums[1:])
+        out.append(mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
