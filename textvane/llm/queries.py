@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import automata, jaccard, mixing, packing, quality, suffixes, tokencounts, urls
+from . import automata, jaccard, language, mixing, neighbours, packing, quality, suffixes, tokencounts, urls
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,16 @@ def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(read_table(spark, sf_dir, "documents")).rows
 
 
+def neighbour_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every hundredth one."""
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page."""
+    return language.identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in the packed sequences."""
     packed = packing.pack(read_table(spark, sf_dir, "documents"), payload=F.crc32)
@@ -56,12 +67,15 @@ def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": mixing_query,
     "op2_ngram_jaccard": jaccard_query,
+    "op3_nearest_neighbours": neighbour_query,
     "op4_quality_rules": quality_query,
     "op5_substring_dedup": automata_query,
+    "op6_language_id": language_query,
     "op7_packing": packing_query,
     "op8_suffix_array_dedup": suffix_query,
     "op9_token_counts": token_query,
     "op10_url_filters": url_query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
