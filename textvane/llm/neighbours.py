@@ -24,13 +24,13 @@ NEIGHBOURS = "array<struct<d:double,id:long>>"
 class Options:
     """sample bounds the rows that the trees are fitted on; every row is indexed and searched."""
 
-    degree: int = 20
+    degree: int = 32
     trees: int = 4
     leaf: int = 384
     sample: int = 4096
-    rounds: int = 4
-    settled: float = 0.01  # a round that changes a smaller part of the graph is the last
-    pool: int = 48
+    rounds: int = 6
+    settled: float = 0.005  # a round that changes a smaller part of the graph is the last
+    pool: int = 96
     seed: int = 0
 
 
