@@ -116,12 +116,13 @@ def identify(pages: DataFrame, labelled: DataFrame, options: Options = Options()
     seen = stage(_text_evidence(rows, model, options).withColumn("p", _softmax(F.col("text_logs"))), "evidence")
     k, even = options.strength, F.array_repeat(F.lit(1.0 / n), n)
     blend = lambda own, size, prior: F.zip_with(own, prior, lambda x, q: (x + k * q) / (size + k))
-    # One row in all, one a suffix, one a host, one a declared language; each small against the pages.
-    overall = seen.agg(_sums(n).alias("all"), F.count(F.lit(1)).alias("all_n"))
-    suffixes = seen.groupBy("suffix").agg(_sums(n).alias("sum"), F.count(F.lit(1)).alias("n")).join(F.broadcast(overall))
-    suffixes = suffixes.select("suffix", blend(F.col("sum"), F.col("n"), blend(F.col("all"), F.col("all_n"), even)).alias("suffix_prior"))
+    # A number for each language in all; then one row a suffix, a host, a declared language, each small against the pages.
+    overall = seen.agg(_sums(n).alias("all"), F.count(F.lit(1)).alias("n")).first()
+    every = F.array(*[F.lit(float(x or 0.0)) for x in overall["all"]])
+    suffixes = seen.groupBy("suffix").agg(_sums(n).alias("sum"), F.count(F.lit(1)).alias("n"))
+    suffixes = suffixes.select("suffix", blend(F.col("sum"), F.col("n"), blend(every, F.lit(overall["n"]), even)).alias("suffix_prior"))
     hosts = stage(seen.groupBy("host", "suffix").agg(_sums(n).alias("sum"), F.count(F.lit(1)).alias("n")).join(suffixes, "suffix").drop("suffix"), "hosts")
-    said = seen.groupBy("declared").agg(_sums(n).alias("said")).join(F.broadcast(overall.select("all")))
+    said = seen.groupBy("declared").agg(_sums(n).alias("said")).withColumn("all", every)
     names = F.array(*map(F.lit, languages))
     trust = options.trust
     said = stage(said.select("declared", F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.transform(
