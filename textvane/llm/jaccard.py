@@ -98,16 +98,24 @@ def tile_keys(tokens: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts per group; as many groups as half the tokens, a power of two, 16 to 1024."""
+    """Counts per group in a byte each; groups are a power of two, 16 at least, half the tokens up to 1024.
+
+    More groups are taken where a count would not fit its byte, so that no count is ever cut.
+    """
     groups = 16
     while groups < min(1024, len(tokens) // 2):
         groups *= 2
-    return np.bincount((words.mix(tokens ^ np.uint64(7)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint16 if len(tokens) < 65536 else np.int64).astype("<i4")
+    place = words.mix(tokens ^ np.uint64(7))
+    while True:
+        counts = np.bincount((place % np.uint64(groups)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
 
 
 def _fold(p: np.ndarray, groups: int) -> np.ndarray:
     """The point with fewer groups: group numbers are remainders, so multiples of `groups` fall together."""
-    return p.reshape(-1, groups).sum(axis=0)
+    return p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
 def bound(p: np.ndarray, q: np.ndarray) -> int:
@@ -206,20 +214,34 @@ def _members(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return chosen.select("doc_id", "a", "text").mapInArrow(build, "id long, size long, tokens binary, point binary").dropDuplicates(["id"])
 
 
+def _bounded(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose points allow a link; only points travel."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = []
+            for i in range(batch.num_rows):
+                p, q = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint8) for k in (2, 3))
+                right.append(rule.linked(bound(p, q), batch.column(4)[i].as_py()))
+            yield batch.select([0, 1]).filter(pa.array(right, pa.bool_()))
+
+    side = lambda c: members.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", F.col("na") + F.col("nb")).mapInArrow(hold, "a long, b long")
+
+
 def _verified(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that are links: bounded by their points, then counted on their sets."""
+    """The pairs (a, b) that are links, counted on their sets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             right = []
             for i in range(batch.num_rows):
-                p, q, s, t = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in ((2, "<i4"), (3, "<i4"), (4, np.uint64), (5, np.uint64)))
-                total = len(s) + len(t)
-                right.append(rule.linked(bound(p, q), total) and rule.linked(len(np.intersect1d(s, t, assume_unique=True)), total))
+                s, t = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+                right.append(rule.linked(len(np.intersect1d(s, t, assume_unique=True)), len(s) + len(t)))
             yield batch.select([0, 1]).filter(pa.array(right, pa.bool_()))
 
-    side = lambda c: members.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"), F.col("point").alias(f"p{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "ta", "tb").mapInArrow(count, "a long, b long")
+    side = lambda c: members.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(count, "a long, b long")
 
 
 def _cells(tiles: DataFrame) -> DataFrame:
@@ -239,7 +261,7 @@ def _tree_join(cells: DataFrame, rule: Rule) -> DataFrame:
         sizes = table.column("size").to_numpy()
         block = table.column("block").to_numpy()
         between = block != table.column("other").to_numpy()
-        raw = [np.frombuffer(x, "<i4") for x in table.column("point").to_pylist()]
+        raw = [np.frombuffer(x, np.uint8) for x in table.column("point").to_pylist()]
         groups = min(map(len, raw))
         points = np.stack([_fold(p, groups) for p in raw])
         tree = Tree(points, sizes)
@@ -279,7 +301,7 @@ def linked_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     degree = named.join(sizes, "key").groupBy("id").agg(F.sum("tile").alias("degree"))
     centre = named.join(degree, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("degree"), F.col("id"))).alias("a"))
     ties = stage(named.join(centre, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct(), "ties")
-    links = stage(_verified(ties, members, rule), "links")
+    links = stage(_verified(stage(_bounded(ties, members, rule), "bounded"), members, rule), "links")
     first = stage(components(links), "first")
     open_tiles = named.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = stage(open_tiles.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key"), "mixed")
