@@ -234,3 +234,28 @@ def test_folds_are_even_and_ratios_null_safe(spark):
     assert total["precision"] is None and total["accuracy"] == 1.0 and total["total"] == 10
     picked = spark.range(1).select(evaluate.arg_max(F.array(F.lit(0.2), F.lit(0.7), F.lit(0.7)))).first()[0]
     assert picked == 1
+
+
+def test_one_cluster_and_one_model_have_stated_values(spark):
+    model = spark.createDataFrame([(0, [1.0, 2.0], 0.7)], "cluster int, center array<double>, share double")
+    at, off = points(spark, [(1, 2)]), points(spark, [(5, 2)])
+    for score in (lambda p, n: cluster.cluster_score(p, model, normalise=n), lambda p, n: cluster._cluster_score_by_rows(p, model, "euclidean", n)):
+        assert score(at, False).first()["score"] == pytest.approx(0.7)
+        assert score(off, False).first()["score"] == pytest.approx(0.0)
+        assert score(at, True).first()["score"] == pytest.approx(0.7)
+        assert score(off, True).first()["score"] == pytest.approx(0.7)
+    predictions = spark.createDataFrame([("u", "1", 0.4), ("u", "0", 0.1), ("v", "1", 0.2)], "user string, label string, nb double")
+    assert {r["w_nb"] for r in ensemble.ensemble_weights(predictions, ["nb"]).collect()} == {1.0}
+
+
+def test_select_k_uses_every_dispersion(spark):
+    table = spark.createDataFrame([(k, 100.0 / k) for k in range(1, 16)], "k int, dispersion double")
+    assert cluster.select_k(table, 2).count() == 15
+
+
+def test_dense_rows_with_null_and_repeated_keys(spark, monkeypatch):
+    records = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, None, 5.0), (2, "b", 3.0), (3, None, 4.0)], "row int, key string, value double")
+    want = {(1, 0, "a", 2.0), (1, 1, "b", 0.0), (2, 0, "a", 0.0), (2, 1, "b", 3.0), (3, 0, "a", 0.0), (3, 1, "b", 0.0)}
+    assert {tuple(r) for r in network.dense_from_sparse(records, "row", "key", "value").collect()} == want
+    monkeypatch.setattr(network, "LITERAL_KEYS", 1)
+    assert {tuple(r) for r in network.dense_from_sparse(records, "row", "key", "value").collect()} == want

@@ -155,3 +155,36 @@ def test_defaults(spark):
 
 def test_letters():
     assert len(EDIT_LETTERS) == 30
+
+
+def test_labels_of_place_fields_start_their_text(spark):
+    page = LISTING.replace("Kommune: Oslo", "Kommune: Voss")
+    page = page.replace('<div>Kommune:', '<div>Publisert for: Bergen Kommune, Hordaland Fylkeskommune</div><div>Kommune:')
+    got = H.extract_listing(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first().asDict()
+    assert "Voss" in got["municipality"] and "Akershus" in got["county"]
+
+
+def test_tag_text_needs_the_whole_name(spark):
+    df = spark.createDataFrame([("<article>x</article><A href='y'>z</A>",)], "h string")
+    assert df.select(H.tag_text(df["h"], "a")).first()[0] == "z"
+
+
+def test_lines_keep_control_characters(spark, tmp_path):
+    from textvane.sources.textfiles import read_lines
+
+    (tmp_path / "a.txt").write_bytes("abc\x01def\r\n\nblåbær".encode("latin-1"))
+    assert [r["line"] for r in read_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == ["abc\x01def", "blåbær"]
+
+
+def test_only_a_missing_folder_counts_as_empty(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import types as T
+
+    from textvane.streaming.ingest import read_batches
+
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    assert read_batches(spark, str(tmp_path / "none"), schema).count() == 0
+    twice = T.StructType([T.StructField("k", T.LongType()), T.StructField("k", T.LongType())])
+    spark.range(1).write.parquet(str(tmp_path / "some" / "batch=0"))
+    with pytest.raises(AnalysisException):
+        read_batches(spark, str(tmp_path / "some"), twice).count()

@@ -81,7 +81,8 @@ def cluster_label_share(members: DataFrame) -> DataFrame:
 def cluster_score(points: DataFrame, model: DataFrame, distance: str = "euclidean", normalise: bool = False) -> DataFrame:
     """(id, score) from (cluster, center, share): shares weighed by 1 - distance / all distances.
 
-    The weights sum to K - 1, unless `normalise` scales them to 1. K is bounded by the search
+    The weights sum to K - 1, unless `normalise` scales them to 1. A point on all centres at once has
+    weight 1 for each; where all weights are 0 (one cluster), the scaled score is the mean share. K is bounded by the search
     for K, and checked here.
     """
     rows = model.orderBy("cluster").limit(LITERAL_NUMBERS).collect()
@@ -91,9 +92,11 @@ def cluster_score(points: DataFrame, model: DataFrame, distance: str = "euclidea
     measured = points.select(
         "id", F.transform(_distances(points, rows, distance), lambda d: d["distance"]).alias("d")
     )
-    away = F.transform("d", lambda d: 1 - d / total(F.col("d")))
+    away = F.transform("d", lambda d: 1 - F.coalesce(F.try_divide(d, total(F.col("d"))), F.lit(0.0)))
     score = total(F.zip_with(away, F.lit(np.array([r["share"] for r in rows])), lambda a, s: a * s))
-    return measured.select("id", (score / total(away) if normalise else score).alias("score"))
+    if normalise:
+        score = F.coalesce(F.try_divide(score, total(away)), F.lit(float(np.mean([r["share"] for r in rows])) if rows else None))
+    return measured.select("id", score.alias("score"))
 
 
 def _cluster_score_by_rows(points: DataFrame, model: DataFrame, distance: str, normalise: bool) -> DataFrame:
@@ -102,8 +105,10 @@ def _cluster_score_by_rows(points: DataFrame, model: DataFrame, distance: str, n
     sums = pairs.select("id", "share", d.alias("d")).groupBy("id").agg(
         F.sum("share").alias("s"), F.sum(F.col("share") * F.col("d")).alias("sd"), F.sum("d").alias("all"), F.count(F.lit(1)).alias("k")
     )
-    score = F.col("s") - F.col("sd") / F.col("all")
-    return sums.select("id", (score / (F.col("k") - 1) if normalise else score).alias("score"))
+    score = F.col("s") - F.coalesce(F.try_divide("sd", "all"), F.lit(0.0))
+    if normalise:
+        score = F.coalesce(F.try_divide(score, F.when(F.col("all") > 0, F.col("k") - 1).otherwise(F.col("k"))), F.col("s") / F.col("k"))
+    return sums.select("id", score.alias("score"))
 
 
 def dispersion(members: DataFrame) -> DataFrame:
@@ -116,14 +121,15 @@ def dispersion(members: DataFrame) -> DataFrame:
     return per.groupBy("k").agg(F.sum(F.col("v") * F.col("n")).alias("dispersion"))
 
 
-def select_k(dispersions: DataFrame, dimensions: int, max_k: int = MAX_K) -> DataFrame:
+def select_k(dispersions: DataFrame, dimensions: int, max_k: int | None = None) -> DataFrame:
     """(k, dispersion, alpha, f, chosen) for the dispersions of K = 1, 2, ...
 
     f(1) = 1; f(K) compares a dispersion with the one before; the least f is chosen, and the
     largest K never unless it is the only one.
     """
-    # At most max_k rows: the recurrence runs over one small array.
-    listed = dispersions.filter(F.col("k") <= max_k).agg(F.array_sort(F.collect_list(F.struct("k", F.col("dispersion").alias("s")))).alias("l"))
+    # One row for each K tried: the recurrence runs over one small array.
+    asked = dispersions if max_k is None else dispersions.filter(F.col("k") <= max_k)
+    listed = asked.agg(F.array_sort(F.collect_list(F.struct("k", F.col("dispersion").alias("s")))).alias("l"))
     empty = F.expr("cast(array() as array<struct<k:int,s:double,alpha:double,f:double>>)")
 
     def step(acc: Column, row: Column) -> Column:

@@ -29,12 +29,13 @@ def input_index(records: DataFrame, key: str) -> DataFrame:
 def dense_from_sparse(records: DataFrame, row: str, key: str, value: str) -> DataFrame:
     """(row, idx, key, value): a value for every key of every row, 0 where a row lacks the key.
 
-    A row has one record per key.
+    Records with a null key count as none; of several records of one row and key the largest value holds.
     """
+    records = records.groupBy(row, key).agg(F.max(value).alias(value))
     keys = records.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(key).limit(LITERAL_KEYS + 1).collect()
     if len(keys) <= LITERAL_KEYS:
         # A group is one record, as wide as the key list.
-        rows = records.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+        rows = records.groupBy(row).agg(F.map_from_entries(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(key, value)))).alias("m"))
         lookup = F.array(*[F.lit(k[0]) for k in keys])
         return rows.select(row, "m", F.posexplode(lookup).alias("idx", key)).select(
             row, "idx", key, F.coalesce(F.try_element_at("m", F.col(key)), F.lit(0.0)).alias(value)

@@ -17,8 +17,9 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 
 def tag_text(html: Column, tag: str) -> Column:
     """Raw inner text of the first such element, markup removed; null when there is none."""
-    inner = F.regexp_extract(html, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    return F.when(html.rlike(rf"(?s)<{tag}[^>]*>.*?</{tag}>"), F.trim(F.regexp_replace(inner, "<[^>]*>", "")))
+    element = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
+    inner = F.regexp_extract(html, element, 1)
+    return F.when(html.rlike(element), F.trim(F.regexp_replace(inner, "<[^>]*>", "")))
 
 
 def links(html: Column) -> Column:
@@ -162,7 +163,7 @@ def listing_records(page: Element) -> list[dict]:
             images = [c for c in header.elements() if c.tag == "img"] if header else []
             left, right = _child_divs(next(block.find("div", LEFT), None)), _child_divs(next(block.find("div", RIGHT), None))
             places = {
-                field: next((d.text() for d in block.find("div") if label in d.own_text()), None)
+                field: next((d.text() for d in block.find("div") if d.own_text().strip().startswith(f"{label}:")), None)
                 for field, label in (("municipality", "Kommune"), ("county", "Fylke"))
             }
             publisher = next(iter(left[0].elements()), None) if left else None

@@ -8,25 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def read_lines(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
     """(line, line_no) of text files in the given charset.
 
-    The text reader always decodes UTF-8, so the CSV reader is used with a separator and
-    quote that do not occur. line_no grows with the place in the file: its block start
-    followed by a counter, so no task needs to see the lines before its own.
+    The text reader hands on the bytes of a line as they are, so they are decoded after it; empty
+    lines are left out. line_no grows with the place in the file: its block start followed by a
+    counter, so no task needs to see the lines before its own.
     """
-    lines = (
-        spark.read.option("encoding", charset)
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .option("escape", "")
-        .option("header", "false")
-        .schema("line string")
-        .csv(path)
-    )
+    lines = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), charset).alias("line"), "_metadata")
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return lines.select("line", place.alias("line_no")).filter(F.col("line").isNotNull())
+    return lines.select("line", place.alias("line_no")).filter(F.col("line") != "")
 
 
 def write_lines(lines: DataFrame, path: str, charset: str = "ISO-8859-1") -> None:
