@@ -26,12 +26,12 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def automata_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in 13-word windows that an earlier document has."""
-    return automata.dedup(read_table(spark, sf_dir, "documents")).rows
+    return automata.dedup(read_table(spark, sf_dir, "documents")).rows.drop("spans")
 
 
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in 50-word windows that an earlier document has."""
-    return suffixes.dedup(read_table(spark, sf_dir, "documents")).rows
+    return suffixes.dedup(read_table(spark, sf_dir, "documents")).rows.drop("spans")
 
 
 def neighbour_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,37 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
+def _repeats_sql(n: int) -> str:
+    """Words of documents in n-word windows that a smaller doc_id has, and the checksum of the rest."""
+    return f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+g as (select doc_id, i, array_to_string(list_slice(w, i, i + {n - 1}), ' ') as gram
+      from (select doc_id, w, unnest(range(1, len(w) - {n - 2})) as i from d where len(w) >= {n})),
+f as (select gram, min(doc_id) as first_doc from g group by gram),
+c as (select distinct doc_id, unnest(range(i, i + {n})) as i from g join f using (gram) where first_doc < doc_id),
+k as (select p.doc_id, array_to_string(list(word order by i), ' ') as kept from p anti join c using (doc_id, i) group by p.doc_id),
+r as (select doc_id, count(*) as n from c group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(r.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join r using (doc_id) left join k using (doc_id)"""
+
+
 SQL = {
+    "op2_ngram_jaccard": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as g from (
+        select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as both_have from s x join s y using (g)
+                        where x.doc_id <> y.doc_id group by 1, 2)
+      join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both_have >= 90 * (na.n + nb.n - both_have)),
+r(a, b) as (select doc_id, doc_id from d union select r.a, l.b from r join l on l.a = r.b)
+select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.b) as component_id
+from d left join n using (doc_id) join r on r.a = d.doc_id group by d.doc_id""",
+    "op5_substring_dedup": _repeats_sql(13),
+    "op8_suffix_array_dedup": _repeats_sql(50),
     "op10_url_filters": r"""
 with u as (
   select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
