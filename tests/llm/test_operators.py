@@ -376,3 +376,15 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids and len(ids) == len(set(ids))
     assert not {900, 901, 902, 903} & set(ids)
+
+
+def test_neighbours_of_many_copies(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: (np.ones(4) if i % 3 == 0 else rng.standard_normal(4)).tolist() for i in range(400)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in (0, 100, 200, 300):
+        order = sorted((math.dist(vectors[q], v), i) for i, v in vectors.items() if i != q)
+        assert got[q] == [i for _, i in order[:10]]

@@ -218,10 +218,32 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10,
         F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("d").alias("score"))
 
 
+def _copies(points: DataFrame, keep: int) -> DataFrame:
+    """(rep, id, exact, vec) of the `keep` smallest ids of each different vector; rep is the smallest of them."""
+    ranked = points.withColumn("_r", F.row_number().over(Window.partitionBy("exact").orderBy("id"))).filter(F.col("_r") <= keep)
+    return ranked.select(F.min("id").over(Window.partitionBy("exact")).alias("rep"), "id", "exact", "vec")
+
+
 def nearest(table: DataFrame, every: int = 100, k: int = 10, o: Options = Options()) -> DataFrame:
-    """The k nearest of each row whose vec_id is divisible by `every`, among all other rows of (vec_id, embedding)."""
+    """The k nearest of each row whose vec_id is divisible by `every`, among all other rows of (vec_id, embedding).
+
+    Equal vectors are one place in the graph, so a large group of copies cannot fill every list with itself;
+    the k + 1 smallest ids of a vector are all that an answer can need of it.
+    """
     spark = table.sparkSession
     points = usable(table)
     if points.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(points, build(points, o), points.filter(F.col("id") % every == 0), k, o)
+    copies = stage(_copies(points, k + 1), "copies")
+    places = copies.filter("id = rep").select("id", "exact", "vec")
+    asked = points.filter(F.col("id") % every == 0)
+    # Equal queries are searched once and share the answer.
+    asked = stage(asked.select(F.col("id").alias("query_id"), "exact").join(places.select(F.col("id").alias("rep"), "exact"), "exact").drop("exact"), "asked")
+    found = search(places, build(places, o), places.join(asked.select(F.col("rep").alias("id")).distinct(), "id"), k, o)
+    own = asked.select("rep").distinct().select("rep", F.col("rep").alias("place"), F.lit(0.0).alias("score"))
+    reached = own.unionByName(found.select(F.col("query_id").alias("rep"), F.col("vec_id").alias("place"), "score"))
+    rows = reached.join(copies.select(F.col("rep").alias("place"), "id"), "place")
+    answers = rows.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("near"))
+    near = F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k)
+    listed = asked.join(answers, "rep").select("query_id", F.posexplode(near).alias("rank", "n"))
+    return listed.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.id").alias("vec_id"), F.col("n.score").alias("score"))
