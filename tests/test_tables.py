@@ -11,6 +11,7 @@ from textvane.sources.jsonrows import from_json_rows, to_json_rows
 from textvane.sources.schemas import TENDER, snake_columns
 from textvane.sources.tables import append_rows, load_tables, read_table, upsert_buckets, write_buckets
 from textvane.streaming import ingest as I
+from textvane.streaming.refresh import Refresher
 
 
 def events(spark, *rows):
@@ -188,3 +189,24 @@ def test_only_a_missing_folder_counts_as_empty(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "some" / "batch=0"))
     with pytest.raises(AnalysisException):
         read_batches(spark, str(tmp_path / "some"), twice).count()
+
+
+def test_refresh_forgets_scores_of_labelled_items(spark, tmp_path):
+    service = Refresher(spark, str(tmp_path))
+    service.on_items(spark.createDataFrame([(1, "red sun"), (2, "blue sea"), (3, "red sea")], "item long, text string"), 0)
+    columns = "user string, item long, time long, label string"
+    service.on_labels(spark.createDataFrame([("u", 1, 1, "1"), ("v", 1, 1, "0")], columns), 0)
+    assert sorted((r.user, r["item"]) for r in service.scores().collect()) == [("u", 2), ("u", 3), ("v", 2), ("v", 3)]
+    service.on_labels(spark.createDataFrame([("u", 2, 2, "0"), ("u", 3, 3, "1")], columns), 1)
+    service.on_labels(spark.createDataFrame([("u", 2, 2, "0"), ("u", 3, 3, "1")], columns), 1)
+    assert sorted((r.user, r["item"]) for r in service.scores().collect()) == [("v", 2), ("v", 3)]
+
+
+def test_refresh_slices_of_one_number_count_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("textvane.streaming.refresh.read_slices", lambda spark, table: 7)
+    service = Refresher(spark, str(tmp_path))
+    service.on_items(spark.createDataFrame([(1, "red sun"), (2, "blue sea")], "item long, text string"), 0)
+    service.on_labels(spark.createDataFrame([("u", 1, 1, "1")], "user string, item long, time long, label string"), 0)
+    service.on_items(spark.createDataFrame([(3, "red sea")], "item long, text string"), 1)
+    scored = [r["item"] for r in service.scores().collect()]
+    assert len(scored) == len(set(scored))
