@@ -231,6 +231,37 @@ def test_quality_measures_and_bands(spark, docs, nothing):
     assert quality.quality(nothing).count() == 0 and quality.keep_good(nothing).count() == 0
 
 
+RIGHTS = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать "
+          "в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными "
+          "настоящей Декларацией, без какого бы то ни было различия. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है "
+          "और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। प्रत्येक व्यक्ति को जीवन, स्वाधीनता और वैयक्तिक सुरक्षा का अधिकार है। "
+          "कोई भी ग़ुलामी या दासता की हालत में न रखा जाएगा, ग़ुलामी-प्रथा और ग़ुलामों का व्यापार अपने सभी रूपों में निषिद्ध होगा।",
+    "zh": "人人生而自由， 在尊严和权利上一律平等。 他们赋有理性和良心， 并应以兄弟关系的精神相对待。 人人有资格享有本宣言所载的一切权利和自由， "
+          "不分种族、 肤色、 性别、 语言、 宗教、 政治或其他见解、 国籍或社会出身、 财产、 出生或其他身份等任何区别。",
+}
+
+
+def test_natural_prose_lies_inside_the_bands():
+    import pyarrow as pa
+    import zstandard
+    from pydoc_data import topics
+
+    packer = zstandard.ZstdCompressor(level=3)
+    manual = "\n".join(t for _, t in sorted(topics.topics.items()) if "+---" not in t)  # prose, no tables
+    english = [manual[i:i + n] for n in (300, 700, 2000, 8000, 30000, 100000) for i in range(0, len(manual) - n, 100000)]
+    for texts in (english, list(RIGHTS.values())):
+        got = quality.measure(pa.array(texts), quality.Bands(), packer)
+        assert sum(not b for b in got["base_failed"]) >= 0.4 * len(texts)
+        assert {r for r, b in zip(got["reason"], got["base_failed"], strict=True) if not b} == {None}
+    rng = random.Random(8)
+    few = [" ".join(rng.choice([8 * c for c in "abcdefghijklmnop"]) for _ in range(n)) for n in (300, 3000)]
+    noise = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=40)).replace(" ", "") for _ in range(200)]
+    got = quality.measure(pa.array([*few, " ".join(noise)]), quality.Bands(), packer)
+    assert got["reason"] == ["repetitive", "repetitive", "incompressible"]
+
+
 def test_packing_is_an_exact_cut(spark, docs, nothing):
     from tokenizers import Tokenizer
 
