@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from textvane.llm import automata, jaccard, language, mixing, neighbours, packing, quality, suffixes, tokencounts, tokenizer, urls
+from textvane.llm import automata, jaccard, language, mixing, neighbours, packing, passages, quality, suffixes, tokencounts, tokenizer, urls, words as llm_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string, lang string, n_words long"
@@ -129,6 +129,42 @@ def test_repeated_windows_are_brute_force(docs, nothing, method):
     assert method.dedup(nothing).rows.count() == 0
 
 
+@pytest.mark.parametrize("method", [automata, suffixes])
+def test_heavy_anchor_is_not_indexed_in_one_shard(spark, tmp_path, method):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    prose = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    k, length = method.SHAPE.anchor, method.SHAPE.window
+    # Of many lines the one whose hash is least is the anchor of every window around it.
+    lines = [prose(k) for _ in range(500)]
+    w = llm_words.split(pa.array([" ".join(x) for x in lines]))
+    line = lines[int(np.argmin(passages.anchors(w, passages.Shape(k, k, 1))[2]))]
+    texts = [prose(60) + line + prose(60) for _ in range(120)]
+    texts += [t[:30] + prose(3) + t[40:] for t in texts[:20]] + [prose(5) + t[15:] for t in texts[20:30]]
+    seen, want = {}, {}
+    for d, w in enumerate(texts):
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen.setdefault(tuple(w[i:i + length]), d) != d:
+                gone[i:i + length] = [True] * length
+        want[d] = sum(gone)
+    assert sum(n > 0 for n in want.values()) == 30
+    sizes = tmp_path / "sizes"
+    sizes.mkdir()
+
+    def index(runs, *rest):
+        (sizes / str(random.random())).write_text(str(sum(map(len, runs))))
+        return method.index(runs, *rest)
+
+    shape = passages.Shape(length, k, 700)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in passages.repeats(docs, shape, index).rows.collect()}
+    assert got == want
+    # Not one of the shards holds all the different stretches around the line.
+    assert max(int(f.read_text()) for f in sizes.iterdir()) < 2 * shape.shard_words
+
+
 def test_strip_repeats_keeps_columns_and_other_text(docs):
     rows = {r["doc_id"]: r for r in suffixes.dedup(docs).rows.collect()}
     out = suffixes.strip_repeats(docs)

@@ -4,7 +4,9 @@ Every window of words has an anchor, the k-gram of smallest hash in it, so equal
 anchors wherever they stand. Windows that follow each other with the same anchor make a stretch.
 Anchors that occur in one text only cannot lie in a repeated window and drop out early; the
 stretches of the others meet by anchor, in shards of bounded size, and an index of the shard says for
-each window which document has it first. Equal texts are one class and only their first is indexed.
+each window which document has it first. An anchor whose different stretches alone would fill a shard
+is heavy: its windows meet by their own digests instead, under a combining minimum, so no task holds
+them together. Equal texts are one class and only their first is indexed.
 """
 
 from __future__ import annotations
@@ -147,6 +149,37 @@ def _stretches(chosen: DataFrame, shape: Shape) -> DataFrame:
     return chosen.select("doc_id", "a", "keys", "text").mapInArrow(cut, STRETCH)
 
 
+def _heavy_anchors(stretches: DataFrame, shape: Shape) -> DataFrame:
+    """(anchor) of the anchors whose different stretches have more than `shard_words` words."""
+    # Copies of one stretch are merged before they are indexed; only different ones count.
+    once = stretches.select("anchor", "p1", "p2", "windows").distinct()
+    return once.groupBy("anchor").agg(F.sum(F.col("windows") + shape.window).alias("n")).filter(F.col("n") > shape.shard_words).select("anchor")
+
+
+def _heavy_hits(stretches: DataFrame, shape: Shape) -> DataFrame:
+    """(doc_id, at): windows of `stretches`, by their first word, that a smaller doc_id has, by digests of whole windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in words.chunks(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
+                w = words.split(part.column(2))
+                start = np.flatnonzero(w.row[:len(w.row) - shape.window + 1] == w.row[shape.window - 1:])
+                row = w.row[start]
+                w1, w2 = words.spans(w.hash, start, start + shape.window)
+                at = part.column(1).to_numpy()[row] + start - w.first[row]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at), pa.array(w1), pa.array(w2)],
+                                                 names=["doc_id", "at", "w1", "w2"])
+
+    windows = stage(stretches.select("doc_id", "first", F.col("passage").cast("string")).mapInArrow(
+        cut, "doc_id long, at long, w1 long, w2 long"), "windows")
+    # Staged, so that the join has a shuffle on both sides and a window of very many documents is split.
+    least = stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter(
+        "least < most").drop("most"), "least")
+    found = windows.join(least, ["w1", "w2"]).filter("least < doc_id")
+    return found.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+
+
 def _first_documents(stretches: DataFrame, shape: Shape, index: Index) -> DataFrame:
     """(anchor, p1, p2, firsts): of each window of a different stretch the smallest doc_id that has it."""
     total = stretches.agg(F.sum(F.col("windows") + shape.window)).first()[0] or 0
@@ -243,9 +276,15 @@ def repeats(docs: DataFrame, shape: Shape, index: Index) -> Repeats:
         F.collect_list("key").alias("keys")), "wanted")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stage(_stretches(semijoin.matching(source, "doc_id", wanted), shape), "stretches")
-    firsts = stage(_first_documents(found, shape, index), "firsts")
-    hits = found.drop("passage").join(firsts, ["anchor", "p1", "p2"]).select("doc_id", F.expr(
+    heavy = stage(_heavy_anchors(found, shape), "heavy")
+    light, apart = found, None
+    if not heavy.isEmpty():
+        light = found.join(F.broadcast(heavy), "anchor", "left_anti")
+        apart = _heavy_hits(found.join(F.broadcast(heavy), "anchor", "left_semi"), shape)
+    firsts = stage(_first_documents(light, shape, index), "firsts")
+    hits = light.drop("passage").join(firsts, ["anchor", "p1", "p2"]).select("doc_id", F.expr(
         "transform(filter(sequence(0, size(firsts) - 1), i -> firsts[i] < doc_id), i -> first + i)").alias("at")).filter("size(at) > 0")
+    hits = hits if apart is None else hits.unionByName(apart)
     starts = stage(hits.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
     changed = stage(_remove(semijoin.matching(source, "doc_id", starts), shape.window).dropDuplicates(["doc_id", "a"]), "changed")
     rows = texts.join(classes, ["a", "b"], "left").join(changed.drop("kept_text"), ["doc_id", "a"], "left")
