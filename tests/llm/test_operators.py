@@ -445,6 +445,24 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     assert not {900, 901, 902, 903} & set(ids)
 
 
+def test_neighbours_with_a_dominating_component(spark):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((1500, 8))
+    m[:, 0] = 1000 + 0.1 * rng.standard_normal(1500)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    got = {}
+    o = neighbours.Options(leaf=100, degree=16, pool=24)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), o=o).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 1500, 100):
+        d = ((m - m[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    print("recall", hits / 150)
+    assert hits >= 0.9 * 150
+
+
 def test_neighbours_of_many_copies(spark):
     rng = np.random.default_rng(3)
     vectors = {i: (np.ones(4) if i % 3 == 0 else rng.standard_normal(4)).tolist() for i in range(400)}

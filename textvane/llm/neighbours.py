@@ -56,17 +56,21 @@ def usable(table: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
 
 
 def _shrink(m: np.ndarray) -> list[bytes]:
-    """Vectors of one signed byte a component behind a factor of eight bytes: what the graph is built on."""
-    factor = np.abs(m).max(axis=1, initial=0.0) / 127
-    factor[factor == 0] = 1.0
-    parts = np.rint(m / factor[:, None]).astype(np.int8)
+    """Vectors of four-byte components behind a factor of eight bytes: what the graph is built on.
+
+    The factor is a power of two, so single-precision columns lose nothing and larger values do not overflow.
+    """
+    factor = np.exp2(np.floor(np.log2(np.abs(m).max(axis=1, initial=0.0))))
+    parts = (m / factor[:, None]).astype("<f4")
     return [f.tobytes() + x.tobytes() for f, x in zip(factor.astype("<f8"), parts, strict=True)]
 
 
 def _widen(column: pa.Array) -> np.ndarray:
-    """The vectors of `_shrink`, to within half a step of the factor."""
+    """The vectors of `_shrink`."""
     raw = _vectors(column, np.int8)
-    return np.ascontiguousarray(raw[:, :8]).view("<f8") * raw[:, 8:] if raw.size else np.zeros((len(raw), 0))
+    if not raw.size:
+        return np.zeros((len(raw), 0))
+    return np.ascontiguousarray(raw[:, :8]).view("<f8") * np.ascontiguousarray(raw[:, 8:]).view("<f4")
 
 
 def _vectors(column: pa.Array, kind: str) -> np.ndarray:
