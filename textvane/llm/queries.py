@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
-from . import automata, jaccard, language, mixing, neighbours, packing, quality, suffixes, tokencounts, urls
+from . import automata, jaccard, language, mixing, negatives, neighbours, packing, periods, quality, suffixes, tokencounts, urls, warc
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,23 @@ def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, where every seventh label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as WARC archives give it back."""
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def period_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of which repeat a stretch of their words up to their end."""
+    return periods.report(periods.find_runs(periods.with_tandems(read_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_mixing": mixing_query,
     "op2_ngram_jaccard": jaccard_query,
@@ -75,6 +92,9 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix_query,
     "op9_token_counts": token_query,
     "op10_url_filters": url_query,
+    "op11_hard_negatives": negatives_query,
+    "op12_warc": warc_query,
+    "op13_periodic_runs": period_query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -120,4 +140,22 @@ f as (
   select page_id, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(action, length(r.host || r.path)) as action
   from p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by page_id)
 select p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') as verdict from p left join f using (page_id)""",
+    "op11_hard_negatives": r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as a, b.vec_id as b, a.label = b.label as alike, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, score from s where alike qualify row_number() over (partition by a order by score desc, b) <= 5)
+select p.a as anchor_id, p.b as positive_id, cast(row_number() over w as int) as rank, s.b as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.a = p.a and not s.alike and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+window w as (partition by p.a, p.b order by s.score desc, s.b) qualify row_number() over w <= 3""",
+    "op12_warc": r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+r as (select *, strlen(html) as n, max(page_id) over (partition by html) as lead from p)
+select page_id, n as payload_bytes, sha1(html) as payload_digest,
+       case when n >= 1000 and page_id <> lead then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id <> lead then lead end as refers_to from r""",
 }
