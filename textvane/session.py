@@ -60,4 +60,14 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove tables that `stage` returned, once nothing unwritten reads them any more."""
+    for df in staged:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
