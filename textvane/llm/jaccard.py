@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stage
+from ..session import discard, stage
 from . import buckets, semijoin, words
 from .components import components
 
 FIRST_LEVEL = 9  # the largest set of the first size level; each level doubles it
 LEAF = 16
 TILE_ROWS = 2048
+SKETCH = 64
 _PART = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -48,18 +49,32 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
 
     With fewer words the whole sequence is the one shingle; without words the set is empty.
     """
-    w = words.split(column, lower=True)
+    return [keys for keys, _ in _shingles(words.split(column, lower=True), n, False)]
+
+
+def _shingles(w: words.Words, n: int, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes of each row and, if asked for, the second hash of each."""
     at, key = words.windows(w, n)
-    rows = len(w.first) - 1
-    bound = np.searchsorted(w.row[at], np.arange(rows + 1))
-    sets = [np.unique(key[bound[i]:bound[i + 1]]) for i in range(rows)]
+    second = words.windows(w, n, 1)[1] if both else key
+    bound = np.searchsorted(w.row[at], np.arange(len(w.first)))
     sizes = np.diff(w.first)
-    for i in np.flatnonzero((sizes > 0) & (sizes < n)):
-        h = np.full(1, sizes[i], np.uint64)
-        for x in w.hash[w.of(i)]:
-            h = h * np.uint64(0xD6E8FEB86659FD93) + x
-        sets[i] = words.mix(h)
-    return sets
+    for i, size in enumerate(sizes):
+        own, other = key[bound[i]:bound[i + 1]], second[bound[i]:bound[i + 1]]
+        if 0 < size < n:
+            own, other = (_whole(h[w.of(i)]) for h in (w.hash, w.hash2 if both else w.hash))
+        if both:
+            own, first = np.unique(own, return_index=True)
+            yield own, other[first]
+        else:
+            own = np.unique(own)
+            yield own, own
+
+
+def _whole(hashes: np.ndarray) -> np.ndarray:
+    h = np.full(1, len(hashes), np.uint64)
+    for x in hashes:
+        h = h * np.uint64(0xD6E8FEB86659FD93) + x
+    return words.mix(h)
 
 
 def _level(n: int) -> int:
@@ -118,6 +133,14 @@ def _fold(p: np.ndarray, groups: int) -> np.ndarray:
     return p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
+def sketch(p: np.ndarray) -> np.ndarray:
+    """The point folded to SKETCH groups, or to as many as keep every count in its byte."""
+    groups = min(SKETCH, len(p))
+    while (folded := _fold(p, groups)).max() > 255:
+        groups *= 2
+    return folded.astype(np.uint8)
+
+
 def bound(p: np.ndarray, q: np.ndarray) -> int:
     """At most so many tokens are in both sets."""
     groups = min(len(p), len(q))
@@ -164,11 +187,10 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in words.chunks(batch.column(1)):
-                sets = shingle_sets(batch.column(1).slice(lo, hi - lo), rule.n)
-                digests = [words.digest(s) for s in sets]
+                w = words.split(batch.column(1).slice(lo, hi - lo), lower=True)
+                found = [(len(s), words.digest(s), words.digest(t, 1)) for s, t in _shingles(w, rule.n, True)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                    batch.column(0).slice(lo, hi - lo), *(pa.array([x[k] for x in found], pa.int64()) for k in range(3)),
                 ], names=["doc_id", "n", "a", "b"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, n long, a long, b long")
@@ -184,7 +206,7 @@ def _tiles(docs: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
             for batch in batches:
                 for lo, hi in words.chunks(batch.column(0)):
                     for s in shingle_sets(batch.column(0).slice(lo, hi - lo), rule.n):
-                        name = words.digest(s)[0]
+                        name = words.digest(s)
                         if len(s) and name not in seen:
                             seen.add(name)
                             keys = tile_keys(s, rule)
@@ -196,7 +218,7 @@ def _tiles(docs: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(id, size, tokens, point) of the documents that stand for the sets `wanted` (doc_id, a)."""
+    """(id, size, tokens, point, sketch) of the sets `wanted` (doc_id, a), read from those documents; id is the set's a."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,14 +226,16 @@ def _members(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 sets = shingle_sets(part.column(2), rule.n)
                 # A repeated id may bring another text; only the one with the set's digest counts.
-                right = [i for i, a in enumerate(part.column(1).to_pylist()) if len(sets[i]) and words.digest(sets[i])[0] == a]
+                right = [i for i, a in enumerate(part.column(1).to_pylist()) if len(sets[i]) and words.digest(sets[i]) == a]
+                points = [point(sets[i]) for i in right]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()),
-                    pa.array([sets[i].tobytes() for i in right], pa.binary()), pa.array([point(sets[i]).tobytes() for i in right], pa.binary()),
-                ], names=["id", "size", "tokens", "point"])
+                    part.column(1).take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()),
+                    pa.array([sets[i].tobytes() for i in right], pa.binary()), pa.array([p.tobytes() for p in points], pa.binary()),
+                    pa.array([sketch(p).tobytes() for p in points], pa.binary()),
+                ], names=["id", "size", "tokens", "point", "sketch"])
 
     chosen = semijoin.matching(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted)
-    return chosen.select("doc_id", "a", "text").mapInArrow(build, "id long, size long, tokens binary, point binary").dropDuplicates(["id"])
+    return chosen.select("doc_id", "a", "text").mapInArrow(build, "id long, size long, tokens binary, point binary, sketch binary").dropDuplicates(["id"])
 
 
 def _bounded(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
@@ -246,14 +270,22 @@ def _verified(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
 
 def _cells(tiles: DataFrame) -> DataFrame:
     """Tiles cut into blocks of about TILE_ROWS rows; every two blocks of a tile meet in one cell."""
-    counted = tiles.join(tiles.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("blocks")), "key")
+    counted = tiles.withColumn("blocks", F.ceil(F.col("members") / TILE_ROWS).cast("int"))
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     return counted.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "block", "other", "id", "component", "size", "point")
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "block", "other", "id", "component")
+
+
+def _mixed(tiles: DataFrame) -> DataFrame:
+    """(key, members) of the tiles of (key, id, component) with two or more components, of tiles with the same members one."""
+    told = tiles.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("lo != hi")
+    return told.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members")
 
 
 def _tree_join(cells: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): members of one cell in different components whose points allow a link."""
+    """(a, b): members of one cell in different components whose sketches allow a link."""
 
     def search(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -261,7 +293,7 @@ def _tree_join(cells: DataFrame, rule: Rule) -> DataFrame:
         sizes = table.column("size").to_numpy()
         block = table.column("block").to_numpy()
         between = block != table.column("other").to_numpy()
-        raw = [np.frombuffer(x, np.uint8) for x in table.column("point").to_pylist()]
+        raw = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
         groups = min(map(len, raw))
         points = np.stack([_fold(p, groups) for p in raw])
         tree = Tree(points, sizes)
@@ -287,31 +319,46 @@ def linked_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     First each tile ties its members to the one that meets most others, and the ties are verified.
     What is then in one component needs no more work; members of one tile in different components
-    go through the R-tree, and every pair it cannot exclude is verified.
+    go through the R-tree over sketches of their points, and every pair that it and the points themselves
+    cannot exclude is verified. Rows of one doc_id with different texts are one document with several sets.
     """
     meta = stage(_sets(docs, rule), "sets")
-    classes = stage(meta.filter("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")
+    full = meta.filter("n > 0 and doc_id is not null")
+    classes = stage(full.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")
+    # A document with several sets ties them.
+    twice = full.groupBy("doc_id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo != hi")
+    tied = stage(full.join(twice, "doc_id").filter("a != lo").select(F.col("lo").alias("a"), F.col("a").alias("b")).distinct(), "tied")
     total = meta.agg(F.sum("n")).first()[0] or 0
     tiles = stage(_tiles(docs, rule, buckets.count_for(total // 3)), "tiles")
-    named = stage(tiles.join(classes.select(F.col("a").alias("val"), F.col("rep").alias("id")), "val").select("key", "id"), "named")
-    wanted = stage(named.select("id").distinct().join(classes.select(F.col("rep").alias("id"), "a"), "id").select(F.col("id").alias("doc_id"), "a"), "wanted")
+    named = stage(tiles.join(classes.select(F.col("a").alias("id")).distinct(), tiles["val"] == F.col("id")).select("key", "id"), "named")
+    wanted = stage(classes.join(named.select(F.col("id").alias("a")).distinct(), "a").select(F.col("rep").alias("doc_id"), "a"), "wanted")
+    discard(tiles)
     members = stage(_members(docs, wanted, rule), "members")
     # How many others each member meets, over all its tiles: originals meet more than their copies do.
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("tile"))
     degree = named.join(sizes, "key").groupBy("id").agg(F.sum("tile").alias("degree"))
     centre = named.join(degree, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("degree"), F.col("id"))).alias("a"))
     ties = stage(named.join(centre, "key").filter("id != a").select("a", F.col("id").alias("b")).distinct(), "ties")
-    links = stage(_verified(stage(_bounded(ties, members, rule), "bounded"), members, rule), "links")
+    bounded = stage(_bounded(ties, members, rule), "bounded")
+    links = stage(_verified(bounded, members, rule), "links")
     first = stage(components(links), "first")
     open_tiles = named.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = stage(open_tiles.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key"), "mixed")
-    rest = stage(open_tiles.join(mixed, "key").join(members.select("id", "size", "point"), "id").select("key", "id", "component", "size", "point"), "rest")
-    more = stage(_tree_join(_cells(rest), rule).distinct().join(ties, ["a", "b"], "left_anti"), "pairs")
+    rest = stage(open_tiles.join(_mixed(open_tiles), "key"), "rest")
+    discard(bounded, named)
+    light = members.select("id", "size", "sketch")
+    near = stage(_tree_join(_cells(rest).join(light, "id"), rule).distinct().join(ties, ["a", "b"], "left_anti"), "near")
+    discard(ties, rest)
+    more = stage(_bounded(near, members, rule), "pairs")
     found = stage(_verified(more, members, rule), "links")
-    groups = stage(components(links.unionByName(found)), "components")
-    named_rows = meta.join(classes, ["a", "b"], "left").withColumn("id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
-    return named_rows.join(groups, "id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
+    discard(near, more, members)
+    groups = stage(components(links.unionByName(found).unionByName(tied)), "components")
+    # Components go by digests up to here; their name is the smallest doc_id in them.
+    labelled = classes.join(groups.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_set = stage(labelled.join(least, "component").select("a", "b", "component_id"), "of_set")
+    named_rows = meta.join(of_set, ["a", "b"], "left")
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
+    return named_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

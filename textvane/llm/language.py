@@ -21,8 +21,9 @@ from . import semijoin
 from .urls import host
 
 SLOTS = 1 << 14
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
+_OPEN = re.compile(r"(?i)<(?:(script|style)\b|!--|)")
+_CLOSE = {kind: re.compile(rf"(?i)</{kind}\s*>") for kind in ("script", "style")}
+_DECLARED = r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})"
 
 
 @dataclass(frozen=True)
@@ -67,8 +68,34 @@ def train(labelled: DataFrame, options: Options = Options()) -> tuple[list[str],
 
 
 def page_text(html: str) -> str:
-    """What a reader sees: without scripts, styles, comments and tags."""
-    return _HIDDEN.sub(" ", html)
+    """What a reader sees: without scripts, styles, comments and tags, in one pass.
+
+    A script, style or comment that nothing closes loses its opening tag alone; an open tag is text.
+    """
+    out, at, unclosed = [], 0, set()
+    while (start := html.find("<", at)) >= 0:
+        found = _OPEN.match(html, start)
+        kind, end = (found.group(1) or found.group(0)).lower(), -1
+        if kind in _CLOSE and kind not in unclosed:
+            close = _CLOSE[kind].search(html, found.end())
+            end = close.end() if close else -1
+        elif kind == "<!--" and kind not in unclosed:
+            close = html.find("-->", start + 4)
+            end = close + 3 if close >= 0 else -1
+        if end < 0:
+            unclosed.add(kind)
+            if (end := html.find(">", start) + 1) == 0:
+                break
+        out += html[at:start], " "
+        at = end
+    return "".join([*out, html[at:]])
+
+
+def _declared(html: Column) -> Column:
+    """The language that the first html tag names, empty where none does."""
+    start = F.regexp_instr(html, F.lit("(?i)<html\\b"))
+    tag = F.when(start > 0, F.substring_index(F.substring(html, start, F.length(html)), ">", 1)).otherwise("")
+    return F.lower(F.regexp_extract(tag, _DECLARED, 1))
 
 
 def _text_evidence(pages: DataFrame, model: np.ndarray, options: Options) -> DataFrame:
@@ -82,7 +109,7 @@ def _text_evidence(pages: DataFrame, model: np.ndarray, options: Options) -> Dat
             logs = []
             for html in batch.column(at).to_pylist():
                 slots = _slots(page_text(html or ""))
-                logs.append((model[:, slots].sum(axis=1) * min(1.0, options.full_text / max(1, len(slots)))).tolist())
+                logs.append((model @ np.bincount(slots, minlength=SLOTS) * min(1.0, options.full_text / max(1, len(slots)))).tolist())
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + [pa.array(logs, pa.list_(pa.float64()))],
                                              names=[f.name for f in fields] + ["text_logs"])
 
@@ -109,7 +136,7 @@ def identify(pages: DataFrame, labelled: DataFrame, options: Options = Options()
     languages, model = train(labelled, options)
     n = len(languages)
     where = host(F.col("url"))
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1))
+    declared = _declared(F.coalesce("html", F.lit("")))
     rows = pages.select("page_id", where.alias("host"), F.substring_index(where, ".", -1).alias("suffix"), declared.alias("declared"), "html")
     if not n:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), "declared", "suffix", "host")

@@ -65,9 +65,10 @@ def _smaller(best: np.ndarray, at: np.ndarray, shift: int) -> tuple[np.ndarray,
     return np.where(take, right, left), np.where(take, at[shift:], at[:-shift])
 
 
-def _name(w: words.Words, row: int) -> tuple[int, int]:
-    h = w.hash[w.of(row)]
-    return words.digest(words.mix(h + np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+def _name(w: words.Words, row: int, which: int = 0) -> int:
+    """Half of a row's 128-bit digest, from either word hash."""
+    h = (w.hash2 if which else w.hash)[w.of(row)]
+    return words.digest(words.mix(h + np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)), which)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -77,10 +78,9 @@ def _texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi in words.chunks(batch.column(1)):
                 w = words.split(batch.column(1).slice(lo, hi - lo))
-                names = [_name(w, i) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first), pa.int64()),
-                    pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
+                    *(pa.array([_name(w, i, which) for i in range(hi - lo)], pa.int64()) for which in (0, 1)),
                     pa.array([hashlib.sha256(w.text(w.first[i], w.first[i + 1])).hexdigest() for i in range(hi - lo)], pa.string()),
                 ], names=["doc_id", "n_words", "a", "b", "sha"])
 
@@ -101,7 +101,7 @@ def _shared_anchors(docs: DataFrame, shape: Shape, n_buckets: int) -> DataFrame:
                     first, at, key = anchors(w, shape)
                     bound = np.searchsorted(first, w.first)
                     for i in np.flatnonzero(np.diff(bound)):
-                        name = _name(w, i)[0]
+                        name = _name(w, i)
                         if name in seen:
                             continue
                         seen.add(name)
@@ -130,7 +130,7 @@ def _stretches(chosen: DataFrame, shape: Shape) -> DataFrame:
                 first, at, key = anchors(w, shape)
                 row = w.row[first]
                 # A repeated id may bring another text; only the one with the class's digest counts.
-                right = np.array([w.first[i] < w.first[i + 1] and _name(w, i)[0] == names[i] for i in range(part.num_rows)], bool)
+                right = np.array([w.first[i] < w.first[i + 1] and _name(w, i) == names[i] for i in range(part.num_rows)], bool)
                 begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])) if len(at) else at
                 end = np.append(begin[1:], len(at)) if len(at) else at
                 lists = part.column(2)
@@ -139,7 +139,7 @@ def _stretches(chosen: DataFrame, shape: Shape) -> DataFrame:
                 wanted = np.isin(words.mix(key[begin] + row[begin].astype(np.uint64) * step), asked) & right[row[begin]]
                 begin, end = begin[wanted], end[wanted]
                 s, e = first[begin], first[end - 1] + shape.window
-                p1, p2 = words.spans(w.hash, s, e)
+                p1, p2 = words.spans(w, s, e)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key[begin].view(np.int64)), part.column(0).take(pa.array(row[begin])), pa.array(s - w.first[row[begin]]),
                     pa.array((at[begin] - s).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(p1), pa.array(p2),
@@ -166,7 +166,7 @@ def _heavy_hits(stretches: DataFrame, shape: Shape) -> DataFrame:
                 w = words.split(part.column(2))
                 start = np.flatnonzero(w.row[:len(w.row) - shape.window + 1] == w.row[shape.window - 1:])
                 row = w.row[start]
-                w1, w2 = words.spans(w.hash, start, start + shape.window)
+                w1, w2 = words.spans(w, start, start + shape.window)
                 at = part.column(1).to_numpy()[row] + start - w.first[row]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at), pa.array(w1), pa.array(w2)],
                                                  names=["doc_id", "at", "w1", "w2"])
@@ -221,7 +221,7 @@ def _remove(chosen: DataFrame, window: int) -> DataFrame:
                     cuts = [(int(w.starts[own.start + x]), int(w.starts[own.start + y]) if y < n else int(w.ends[own.stop - 1]))
                             for x, y in zip(edge[::2], edge[1::2], strict=True)]
                     kept_texts.append(_without(part.column(1)[i].as_py(), w, own, cuts))
-                    names.append(_name(w, i)[0])
+                    names.append(_name(w, i))
                     removed.append(int(gone.sum()))
                     shas.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([

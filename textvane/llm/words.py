@@ -6,8 +6,10 @@ inside a longer character, so byte runs and code point runs are the same.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 _RNG = np.random.Generator(np.random.PCG64(20))
-_BYTE = _RNG.integers(1, 2**64, size=256, dtype=np.uint64)
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
-_BASE = 0x9E3779B97F4A7C13
-_POWERS: dict[str, np.ndarray] = {}
+# Two unrelated hashes of a word start from these; words of more than LONG bytes are hashed by a digest function.
+_SEEDS = _RNG.integers(1, 2**64, size=2, dtype=np.uint64)
+LONG = 64
+# Sequences are hashed by polynomials modulo a prime, in two unrelated bases.
+PRIME = (1 << 61) - 1
+_BASES = [int(x) for x in _RNG.integers(1 << 32, PRIME, size=2, dtype=np.uint64)]
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,14 +40,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if len(_POWERS.get("up", ())) <= n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(max(n, CHUNK_BYTES) + 1, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo PRIME of values below it, from products of their halves."""
+    half, low30 = np.uint64(31), np.uint64((1 << 30) - 1)
+    ah, al, bh, bl = a >> half, a & np.uint64((1 << 31) - 1), b >> half, b & np.uint64((1 << 31) - 1)
+    mid, low = ah * bl + al * bh, al * bl
+    total = np.uint64(2) * ah * bh + (mid >> np.uint64(30)) + ((mid & low30) << half) + (low & np.uint64(PRIME)) + (low >> np.uint64(61))
+    return _reduced(total)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i up to n, doubled from what is known."""
+    known = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(known) <= n:
+        known = np.concatenate([known, _times(known, np.uint64(pow(base, len(known), PRIME)))])
+    _POWERS[base] = known
+    return known
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +90,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 @dataclass
 class Words:
-    """All words of a chunk in order: byte spans, the row each belongs to, and a 64-bit hash."""
+    """All words of a chunk in order: byte spans, the row each belongs to, and two unrelated 64-bit hashes."""
 
     data: np.ndarray
     starts: np.ndarray
@@ -80,6 +99,10 @@ class Words:
     hash: np.ndarray
     first: np.ndarray  # of each row its first word; one more entry at the end
 
+    @cached_property
+    def hash2(self) -> np.ndarray:
+        return _hash(self.data, self.starts, self.ends, 1)
+
     def of(self, row: int) -> slice:
         return slice(self.first[row], self.first[row + 1])
 
@@ -109,43 +132,63 @@ def split(column: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
     ends = np.flatnonzero(~space & after) + 1
     row = np.searchsorted(off, starts, "right") - 1
     first = np.searchsorted(row, np.arange(rows + 1))
-    return Words(data, starts, ends, row, _hash(data, starts, ends) if hashes else np.zeros(0, np.uint64), first)
-
-
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans: differences of a polynomial prefix sum, shifted to the same power."""
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of every run of n words inside one row."""
-    total = len(w.hash) - n + 1
+    return Words(data, starts, ends, row, _hash(data, starts, ends, 0) if hashes else np.zeros(0, np.uint64), first)
+
+
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """Hashes of byte spans: eight bytes after the other are mixed into a state that starts from the length."""
+    size = (ends - starts).astype(np.uint64)
+    state = mix(size ^ _SEEDS[which])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(data) + 1,), strides=(1,))
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        left = size[at] - np.uint64(k)
+        part = blocks[starts[at] + k]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * np.uint64(8))) - np.uint64(1)
+        state[at] = mix((state[at] ^ part) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8, salt=bytes([which])).digest()
+        state[i] = np.frombuffer(digest, "<u8")[0]
+    return state
+
+
+def windows(w: Words, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, hash) of every run of n words inside one row, from either word hash."""
+    each = w.hash2 if which else w.hash
+    total = len(each) - n + 1
     if total <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.full(total, n, np.uint64)
     for i in range(n):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + w.hash[i:i + total]
+        h = h * np.uint64(0xD6E8FEB86659FD93) + each[i:i + total]
     at = np.flatnonzero(w.row[:total] == w.row[n - 1:])
     return at, mix(h[at])
 
 
-def digest(values: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums (as signed integers) that stand for a set or, with positions mixed in, a sequence."""
+def digest(values: np.ndarray, which: int = 0) -> int:
+    """A 64-bit sum (as a signed integer) that stands for a set or, with positions mixed in, a sequence.
+
+    For 128 bits take it of both hashes of the same things.
+    """
     with np.errstate(over="ignore"):
-        a = mix(values ^ np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64)
-        b = mix(values * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+        salted = values * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x13198A2E03707344) if which else values ^ np.uint64(0x243F6A8885A308D3)
+        return int(mix(salted).sum(dtype=np.uint64).astype(np.int64))
 
 
-def spans(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two signed 64-bit hashes of each run values[lo:hi], from differences of prefix sums."""
-    up, down = _powers(len(values))
+def spans(w: Words, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit hashes of each run of words lo to hi - 1, from differences of prefix sums."""
     out = []
-    for salt in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)):
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(mix(values ^ salt) * up[:len(values)], out=sums[1:])
-        out.append(mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)).view(np.int64))
+    for values, base in ((w.hash, _BASES[0]), (w.hash2, _BASES[1])):
+        up, down = _powers(base, len(values)), _powers(pow(base, -1, PRIME), len(values))
+        terms = _times(_reduced(mix(values)), up[:len(values)])
+        # Halves are summed apart, so that no sum leaves 64 bits.
+        high, low = (np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (terms >> np.uint64(31), terms & np.uint64((1 << 31) - 1)))
+        sums = _reduced(_times(_reduced(high), np.uint64(1 << 31)) + _reduced(low))
+        run = _times(_reduced(sums[hi] + np.uint64(PRIME) - sums[lo]), down[lo])
+        out.append(mix(run ^ ((hi - lo).astype(np.uint64) << np.uint64(40))).view(np.int64))
     return out[0], out[1]
