@@ -217,8 +217,11 @@ def _tiles(docs: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
     return buckets.shared(docs.select("text").mapInArrow(emit, buckets.SCHEMA))
 
 
-def _members(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(id, size, tokens, point, sketch) of the sets `wanted` (doc_id, a), read from those documents; id is the set's a."""
+def _members(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, rule: Rule) -> DataFrame:
+    """(id, size, tokens, point, sketch) of the sets `wanted` (doc_id, a), read from those documents; id is the set's a.
+
+    Sets only move for documents that have one more than once (`repeated`).
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +237,19 @@ def _members(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     pa.array([sketch(p).tobytes() for p in points], pa.binary()),
                 ], names=["id", "size", "tokens", "point", "sketch"])
 
-    chosen = semijoin.matching(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted)
-    return chosen.select("doc_id", "a", "text").mapInArrow(build, "id long, size long, tokens binary, point binary, sketch binary").dropDuplicates(["id"])
+    schema = "id long, size long, tokens binary, point binary, sketch binary"
+    read = lambda rows: semijoin.matching(rows, "doc_id", wanted).select("doc_id", "a", "text").mapInArrow(build, schema)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if repeated.isEmpty():
+        return read(source)
+    again = read(semijoin.matching(source, "doc_id", repeated)).dropDuplicates(["id"])
+    return read(semijoin.without(source, "doc_id", repeated)).unionByName(again)
+
+
+def _of_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The members that are in a pair."""
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    return semijoin.matching(members, "id", ids.withColumnRenamed("a", "id"))
 
 
 def _bounded(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
@@ -249,6 +263,7 @@ def _bounded(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
                 right.append(rule.linked(bound(p, q), batch.column(4)[i].as_py()))
             yield batch.select([0, 1]).filter(pa.array(right, pa.bool_()))
 
+    members = _of_pairs(members, pairs)
     side = lambda c: members.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", F.col("na") + F.col("nb")).mapInArrow(hold, "a long, b long")
 
@@ -264,6 +279,7 @@ def _verified(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
                 right.append(rule.linked(len(np.intersect1d(s, t, assume_unique=True)), len(s) + len(t)))
             yield batch.select([0, 1]).filter(pa.array(right, pa.bool_()))
 
+    members = _of_pairs(members, pairs)
     side = lambda c: members.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(count, "a long, b long")
 
@@ -333,7 +349,8 @@ def linked_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     named = stage(tiles.join(classes.select(F.col("a").alias("id")).distinct(), tiles["val"] == F.col("id")).select("key", "id"), "named")
     wanted = stage(classes.join(named.select(F.col("id").alias("a")).distinct(), "a").select(F.col("rep").alias("doc_id"), "a"), "wanted")
     discard(tiles)
-    members = stage(_members(docs, wanted, rule), "members")
+    repeated = full.groupBy("doc_id", "a").count().filter("count > 1").select("doc_id").distinct()
+    members = stage(_members(docs, wanted, stage(repeated, "repeated"), rule), "members")
     # How many others each member meets, over all its tiles: originals meet more than their copies do.
     sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("tile"))
     degree = named.join(sizes, "key").groupBy("id").agg(F.sum("tile").alias("degree"))
