@@ -200,13 +200,3 @@ def test_refresh_forgets_scores_of_labelled_items(spark, tmp_path):
     service.on_labels(spark.createDataFrame([("u", 2, 2, "0"), ("u", 3, 3, "1")], columns), 1)
     service.on_labels(spark.createDataFrame([("u", 2, 2, "0"), ("u", 3, 3, "1")], columns), 1)
     assert sorted((r.user, r["item"]) for r in service.scores().collect()) == [("v", 2), ("v", 3)]
-
-
-def test_refresh_slices_of_one_number_count_once(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("textvane.streaming.refresh.read_slices", lambda spark, table: 7)
-    service = Refresher(spark, str(tmp_path))
-    service.on_items(spark.createDataFrame([(1, "red sun"), (2, "blue sea")], "item long, text string"), 0)
-    service.on_labels(spark.createDataFrame([("u", 1, 1, "1")], "user string, item long, time long, label string"), 0)
-    service.on_items(spark.createDataFrame([(3, "red sea")], "item long, text string"), 1)
-    scored = [r["item"] for r in service.scores().collect()]
-    assert len(scored) == len(set(scored))

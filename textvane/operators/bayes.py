@@ -60,6 +60,20 @@ def _posterior(out: DataFrame, places: range, keep: Sequence[Column]) -> DataFra
     return out.select(*keep, *[F.col(f"s_{i}").alias(f"s_{i}") for i in places], *[(p / total).alias(f"p_{i}") for i, p in zip(places, parts)])
 
 
+def _start(i: int) -> Column:
+    """The score of a text of `len` tokens if the model knew none of its words."""
+    denom = F.log(F.col(f"tokens_{i}") + F.col("vocab") * WORD_SMOOTHING)
+    return F.log(F.col(f"docs_{i}") + 2 * CLASS_SMOOTHING) + F.col("len") * (F.log(F.lit(WORD_SMOOTHING)) - denom)
+
+
+def standing(rows: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """(user, item, s_i, p_i) of rows with the user's class figures, the item's len, and what known words add (g_i, or null)."""
+    places = range(len(labels))
+    scored = rows.select("user", "item", *[F.col(f"docs_{i}").alias(f"d_{i}") for i in places],
+                         *[(_start(i) + F.coalesce(f"g_{i}", F.lit(0.0))).alias(f"s_{i}") for i in places])
+    return _posterior(scored, places, [F.col("user"), F.col("item")])
+
+
 def score(model: NaiveBayes, pairs: DataFrame, counts: DataFrame, hot: list | None = None) -> DataFrame:
     """(user, item, s_i, p_i) for the asked (user, item) pairs.
 
@@ -70,13 +84,8 @@ def score(model: NaiveBayes, pairs: DataFrame, counts: DataFrame, hot: list | No
     lengths = counts.groupBy("item").agg(F.sum("n").alias("len"))
     base = pairs.select("user", "item").join(model.classes, "user").join(lengths, "item")
     unseen = F.log(F.lit(WORD_SMOOTHING))
-
-    def start(i: int) -> Column:
-        denom = F.log(F.col(f"tokens_{i}") + F.col("vocab") * WORD_SMOOTHING)
-        return F.log(F.col(f"docs_{i}") + 2 * CLASS_SMOOTHING) + F.col("len") * (unseen - denom)
-
     base = base.select(
-        "user", "item", *[start(i).alias(f"s_{i}") for i in places], *[F.col(f"docs_{i}").alias(f"d_{i}") for i in places]
+        "user", "item", *[_start(i).alias(f"s_{i}") for i in places], *[F.col(f"docs_{i}").alias(f"d_{i}") for i in places]
     )
     # The logarithm is taken once per model word, before the words meet the tokens.
     gains = model.words.select(
