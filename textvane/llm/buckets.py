@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "bucket int, keys binary, vals binary"
 # Pairs that one bucket holds on average; a bucket is worked on in one task's memory.
-BUCKET_PAIRS = 1 << 20
+BUCKET_PAIRS = 1 << 18
 
 
 def count_for(pairs: int) -> int:

@@ -86,6 +86,8 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
         yield lo, hi
         lo = hi
+    # Workers are kept for later tasks; what this batch needed goes back to the machine.
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
