@@ -140,3 +140,38 @@ def leave_one_out(model: NaiveBayes, examples: DataFrame, hot: list | None = Non
     both = both.select("*", *[(F.col(f"docs_{i}") - own(i, F.lit(1))).alias(f"d_{i}") for i in places])
     both = both.select("*", *[total(i).alias(f"s_{i}") for i in places])
     return _posterior(both, places, [F.col("user"), F.col("item"), F.col("label")])
+
+
+def leave_fold_out(model: NaiveBayes, examples: DataFrame, hot: list | None = None) -> DataFrame:
+    """(user, item, label, fold, s_i, p_i): each example, with its fold, scored by a model that has not seen the fold.
+
+    The fold's own statistics are taken off the user's, which equals a fit on the other folds. Where a fold holds all
+    that a user has labelled, nothing is left and p_i is 0.
+    """
+    places = range(len(model.labels))
+    hot = hot_values(examples, "word") if hot is None else hot
+
+    def of(i: int, value: Column) -> Column:
+        return F.when(F.col("label") == model.labels[i], value).otherwise(0)
+
+    fold_words = examples.groupBy("user", "fold", "word").agg(
+        F.count(F.lit(1)).alias("f_docs"), *[F.sum(of(i, F.col("n"))).alias(f"f_wc_{i}") for i in places])
+    lengths = examples.groupBy("user", "fold", "item", "label").agg(F.sum("n").alias("len"))
+    fold_sizes = lengths.groupBy("user", "fold").agg(
+        *[F.sum(of(i, F.lit(1))).alias(f"f_docs_{i}") for i in places], *[F.sum(of(i, F.col("len"))).alias(f"f_tokens_{i}") for i in places])
+    left = fold_words.join(model.words, ["user", "word"])
+    gone = left.groupBy("user", "fold").agg(F.count_if(F.col("docs") == F.col("f_docs")).alias("only"))
+    unseen = F.log(F.lit(WORD_SMOOTHING))
+    gains = left.select("user", "fold", "word", *[(F.log(F.col(f"wc_{i}") - F.col(f"f_wc_{i}") + WORD_SMOOTHING) - unseen).alias(f"g_{i}") for i in places])
+    seen = salted_join(examples, gains, ["user", "fold", "word"], "word", ["item"], "inner", hot)
+    sums = seen.groupBy("user", "fold", "item").agg(*[F.sum(F.col("n") * F.col(f"g_{i}")).alias(f"w_{i}") for i in places])
+    rows = lengths.join(sums, ["user", "fold", "item"]).join(model.classes, "user").join(fold_sizes, ["user", "fold"]).join(gone, ["user", "fold"])
+    rows = rows.select("*", *[(F.col(f"docs_{i}") - F.col(f"f_docs_{i}")).alias(f"d_{i}") for i in places])
+
+    def total(i: int) -> Column:
+        denom = F.log(F.col(f"tokens_{i}") - F.col(f"f_tokens_{i}") + (F.col("vocab") - F.col("only")) * WORD_SMOOTHING)
+        return F.log(F.col(f"d_{i}") + 2 * CLASS_SMOOTHING) + F.col(f"w_{i}") + F.col("len") * (unseen - denom)
+
+    scored = rows.select("*", *[total(i).alias(f"s_{i}") for i in places])
+    out = _posterior(scored, places, [F.col("user"), F.col("item"), F.col("label"), F.col("fold")])
+    return out.select("user", "item", "label", "fold", *[f"s_{i}" for i in places], *[F.coalesce(f"p_{i}", F.lit(0.0)).alias(f"p_{i}") for i in places])

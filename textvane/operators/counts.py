@@ -76,6 +76,19 @@ def tfidf(counts: DataFrame, n_items: int | None = None, hot: list | None = None
     return joined.select(*counts.columns, weight.alias("tfidf"))
 
 
+def user_tfidf(examples: DataFrame, hot: list | None = None) -> DataFrame:
+    """(user, item, word, n, tfidf, held_out) of (user, item, word, n) rows, one for each word of a labelled item.
+
+    tfidf is n * ln(N / df) over the user's own N labelled items; held_out is what it is without the item itself,
+    by subtraction, and null for a word that no other item of the user has.
+    """
+    in_items = examples.groupBy("user", "word").agg(F.count(F.lit(1)).alias("df"))
+    sizes = examples.groupBy("user", "item").agg(F.lit(1).alias("one")).groupBy("user").agg(F.count(F.lit(1)).alias("items"))
+    joined = salted_join(examples, in_items, ["user", "word"], "word", ["item"], "inner", hot).join(sizes, "user")
+    others = F.when(F.col("df") > 1, F.col("n") * F.log((F.col("items") - 1) / (F.col("df") - 1)))
+    return joined.select("user", "item", "word", "n", (F.col("n") * F.log(F.col("items") / F.col("df"))).alias("tfidf"), others.alias("held_out"))
+
+
 def stopword_candidates(weights: DataFrame, top: int = 30) -> DataFrame:
     """The `top` words by their least tf-idf weight, greatest first."""
     least = weights.groupBy("word").agg(F.min("tfidf").alias("least"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bayes, ensemble, linear, tables as T
-from ..operators.counts import item_bow_words, item_words
+from ..operators.counts import item_bow_words, item_words, user_tfidf as counts_of_users
 from ..operators.numbering import number_rows
 from ..operators.skew import hot_values
 from ..session import stage
@@ -72,6 +72,26 @@ def nb_leave_one_out(spark, sf_dir):
     return out.select("user", "item", "label", F.round("p_1", 6).alias("p"))
 
 
+FOLDS = 4
+
+
+def _folded_examples(spark, sf_dir) -> DataFrame:
+    return stage(training_examples(spark, sf_dir).withColumn("fold", F.pmod("item", F.lit(FOLDS)).cast("int")), "examples")
+
+
+def kfold_trained(spark, sf_dir):
+    """Each labelled item scored by a model trained on the other folds of its user's items."""
+    examples = _folded_examples(spark, sf_dir)
+    out = bayes.leave_fold_out(bayes.fit(examples), examples)
+    return out.select("user", "item", "label", "fold", F.round("p_1", 6).alias("p"))
+
+
+def user_tfidf(spark, sf_dir):
+    """Weights of words over each user's own labelled items, all of them and all but the item itself."""
+    out = counts_of_users(training_examples(spark, sf_dir))
+    return out.select("user", "item", "word", "n", F.round("tfidf", 6).alias("tfidf"), F.round("held_out", 6).alias("held_out"))
+
+
 # Two stand-in models whose scores SQL can give: the share of label 1 among the user's
 # labels of the same language, and of the same source.
 STAND_INS = {"bow": "lang", "tfidf": "source"}
@@ -178,6 +198,8 @@ QUERIES = {
     "nb_scores": nb_scores,
     "relevant_items": relevant_items,
     "nb_leave_one_out": nb_leave_one_out,
+    "kfold_trained": kfold_trained,
+    "user_tfidf": user_tfidf,
     "ensemble_weights": ensemble_weights,
     "weighted_scores": weighted_scores,
     "rank_scores": rank_scores,
@@ -237,6 +259,30 @@ select "user", item, label,
        round(case when d_1 = 0 then 0 when d_0 = 0 then 1
             when s_1 >= s_0 then 1 / (1 + exp(s_0 - s_1)) else exp(s_1 - s_0) / (1 + exp(s_1 - s_0)) end, 6) as p
 from raw"""
+# A fit on the rows of the other folds, straight from the definition.
+SQL_KFOLD = f"""with {SQL_MODEL},
+fx as (select *, cast(item % {FOLDS} as integer) as fold from ex),
+f as (select distinct "user", fold from fx),
+tr as (select f."user", f.fold as held, fx.item, fx.label, fx.word, fx.n from f join fx on fx."user" = f."user" and fx.fold <> f.fold),
+tw as (select "user", held, word, sum(case when label = '0' then n else 0 end) as wc_0, sum(case when label = '1' then n else 0 end) as wc_1 from tr group by all),
+tc as (select "user", held, count(distinct item) filter (where label = '0') as d_0, count(distinct item) filter (where label = '1') as d_1,
+              coalesce(sum(n) filter (where label = '0'), 0) as t_0, coalesce(sum(n) filter (where label = '1'), 0) as t_1, count(distinct word) as v
+       from tr group by "user", held),
+raw as (
+  select fx."user", fx.item, fx.label, fx.fold, any_value(d_0) as d_0, any_value(d_1) as d_1,
+         ln(any_value(d_0) + 0.02) + sum(n * (ln(coalesce(wc_0, 0) + 0.05) - ln(t_0 + v * 0.05))) as s_0,
+         ln(any_value(d_1) + 0.02) + sum(n * (ln(coalesce(wc_1, 0) + 0.05) - ln(t_1 + v * 0.05))) as s_1
+  from fx join tc on tc."user" = fx."user" and tc.held = fx.fold
+  left join tw on tw."user" = fx."user" and tw.held = fx.fold and tw.word = fx.word group by fx."user", fx.item, fx.label, fx.fold)
+select "user", item, label, fold,
+       round(case when d_1 = 0 then 0 when d_0 = 0 then 1
+            when s_1 >= s_0 then 1 / (1 + exp(s_0 - s_1)) else exp(s_1 - s_0) / (1 + exp(s_1 - s_0)) end, 6) as p
+from raw"""
+SQL_USER_TFIDF = f"""with {SQL_MODEL},
+df as (select "user", word, count(*) as df from ex group by all), sizes as (select "user", count(distinct item) as items from ex group by all)
+select "user", item, word, n, round(n * ln(items / df), 6) as tfidf,
+       round(case when df > 1 then n * ln((items - 1) / (df - 1)) end, 6) as held_out
+from ex join df using ("user", word) join sizes using ("user")"""
 SQL_SHARES = f"""
 dl as (select l.*, lang, source from ({R.SQL_DOCUMENT_LABELS}) l join documents on doc_id = item),
 by_lang as (select "user", lang, avg(cast(label as double)) as bow from dl group by 1, 2),
@@ -274,6 +320,8 @@ SQL = {
 select row_number() over (order by p desc, item) as rank, item, lang, source, n_chars, p, log_odds
 from ({SQL_NB}) join documents on doc_id = item where "user" = 'quality'""",
     "nb_leave_one_out": SQL_LOO,
+    "kfold_trained": SQL_KFOLD,
+    "user_tfidf": SQL_USER_TFIDF,
     "ensemble_weights": f"with {SQL_WEIGHTS} select * from weights",
     "weighted_scores": SQL_WEIGHTED,
     "rank_scores": f"""
