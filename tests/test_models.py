@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,13 +113,55 @@ def test_linear_models_tell_titles_apart(spark):
     assert right >= len(TITLES) - 1
 
 
-def test_large_users_take_the_distributed_trainer(spark):
-    texts = [(100, "omsorg for barn"), (101, "ny vei med asfalt")]
-    documents = TITLES[:4] + TITLES[5:9]
-    near, _ = linear_scores(spark, documents, texts, tol=1e-6)
-    far, held = linear_scores(spark, documents, texts, tol=1e-6, task_rows=3)
-    assert far[100] == pytest.approx(near[100], abs=0.02) and far[101] == pytest.approx(near[101], abs=0.02)
-    assert len(held) == len(documents)
+def violations(weights, rows, cost=5.0):
+    """By (model, fold): distance from the optimality conditions, straight from their definition, and that at weights 0."""
+    found, out = {}, {}
+    for r in weights:
+        found.setdefault((r["model"], r["fold"]), {})[r["word"]] = r["weight"]
+    for (model, held), w in found.items():
+        texts, labels = {}, {}
+        for r in rows:
+            if r["fold"] != held:
+                texts.setdefault(r["item"], {})[r["word"]] = r["n"]
+                labels[r["item"]] = r["label"] == "1"
+        df = Counter(x for t in texts.values() for x in t)
+        share = sum(labels.values()) / len(labels)
+        if share in (0, 1):
+            assert set(w) == {None}
+            continue
+        zero = {None: math.log(share / (1 - share))}
+
+        def away(w):
+            slope = Counter()
+            for i, t in texts.items():
+                value = {x: n * (math.log(len(texts) / df[x]) if model == "tfidf" else 1) for x, n in t.items()}
+                p = 1 / (1 + math.exp(-w[None] - sum(w.get(x, 0) * v for x, v in value.items())))
+                for x, v in [(None, 1), *value.items()]:
+                    slope[x] += cost * (p - labels[i]) * v
+            by_word = [abs(slope[x] + math.copysign(1, w[x])) if w.get(x) else max(abs(slope[x]) - 1, 0) for x in df]
+            return abs(slope[None]) + sum(by_word)
+
+        out[model, held] = (away(w), away(zero) * min(share, 1 - share))
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [1_000_000, 150])
+def test_every_fit_is_optimal_whatever_the_blocks(spark, block_rows):
+    rng = random.Random(5)
+    documents = []
+    for i in range(60):
+        kind = "good" if i % 3 else "bad"
+        documents.append(("1" if i % 3 else "0", " ".join(rng.choice([f"{kind}{rng.randrange(6)}", f"w{rng.randrange(30)}"]) for _ in range(9))))
+    rows = linear.with_folds(examples_of(spark, documents), loo_limit=20, folds=2)
+    # A second user with one label, whose examples fill several blocks too.
+    one = rows.filter("label = '1'").withColumn("user", F.lit("same"))
+    weights = linear.fit_linear(rows.unionByName(one), tol=0.01, block_rows=block_rows).collect()
+    mine = [r for r in weights if r["user"] == "u"]
+    got = violations(mine, rows.collect())
+    assert set(got) == {(m, f) for m in ("bow", "tfidf") for f in (-1, 0, 1)}
+    assert all(end <= 0.01 * start * (1 + 1e-9) for end, start in got.values())
+    same = {(r["model"], r["fold"]): (r["word"], r["weight"]) for r in weights if r["user"] == "same"}
+    assert set(same.values()) == {(None, linear.CERTAIN)} and len(same) == 6
 
 
 def test_one_label_only(spark):
