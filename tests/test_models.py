@@ -190,6 +190,26 @@ def test_alpha_of_k(spark):
     assert [k for k, r in got.items() if r["chosen"]] == [3]
 
 
+def test_cosine_clusters_use_one_measure_from_one_cluster_on(spark):
+    rng = random.Random(3)
+    vectors = [(0.0, 0.0)]
+    for angle in (0.2, 2.2, 4.4):
+        for _ in range(12):
+            turn, length = angle + rng.uniform(-0.08, 0.08), rng.choice([0.1, 1.0, 40.0])
+            vectors.append((length * math.cos(turn), length * math.sin(turn)))
+    table, centers = cluster.fit_kmeans(points(spark, vectors), 5, distance="cosine")
+    rows = {r["k"]: r for r in table.collect()}
+    units = np.array([np.array(v) / np.linalg.norm(v) for v in vectors[1:]])
+    mean = units.sum(axis=0) / np.linalg.norm(units.sum(axis=0))
+    assert rows[1]["dispersion"] == pytest.approx((1 - units @ mean).sum())
+    assert [k for k, r in rows.items() if r["chosen"]] == [3]
+    found = np.array([r["center"] for r in centers.collect()])
+    found /= np.linalg.norm(found, axis=1, keepdims=True)
+    assert rows[3]["dispersion"] == pytest.approx((1 - (units @ found.T).max(axis=1)).sum())
+    center, spread = cluster.one_direction(points(spark, [(1, 0), (-5, 0)]))
+    assert center == [0.0, 0.0] and spread == pytest.approx(2.0)
+
+
 def test_no_dispersion_left_starts_over(spark):
     table = spark.createDataFrame([(1, 4.0), (2, 0.0), (3, 0.0), (4, 0.0)], "k int, dispersion double")
     got = {r["k"]: r for r in cluster.select_k(table, 2).collect()}

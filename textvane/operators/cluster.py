@@ -10,7 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import DISTANCES, total
+from ..functions.vectors import DISTANCES, dot, total
 from .skew import grid
 
 MAX_K = 10
@@ -121,6 +121,23 @@ def dispersion(members: DataFrame) -> DataFrame:
     return per.groupBy("k").agg(F.sum(F.col("v") * F.col("n")).alias("dispersion"))
 
 
+def one_direction(points: DataFrame) -> tuple[list[float], float]:
+    """The unit vector nearest to all of (id, vector) by angle, and the summed cosine distance to it.
+
+    Of unit vectors that sum to s, the mean direction is s / |s| and the distances add up to n - |s|.
+    """
+    units = points.select(F.posexplode(_unit(F.col("vector"))).alias("pos", "x"))
+    sums = units.groupBy("pos").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("pos").collect()  # one vector
+    along = np.array([r["s"] for r in sums])
+    size = float(np.linalg.norm(along))
+    return (along / size if size else along).tolist(), max(0.0, (sums[0]["n"] if sums else 0) - size)
+
+
+def _unit(v: Column) -> Column:
+    size = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: x / size)
+
+
 def select_k(dispersions: DataFrame, dimensions: int, max_k: int | None = None) -> DataFrame:
     """(k, dispersion, alpha, f, chosen) for the dispersions of K = 1, 2, ...
 
@@ -154,18 +171,25 @@ def select_k(dispersions: DataFrame, dimensions: int, max_k: int | None = None)
 def fit_kmeans(points: DataFrame, max_k: int = MAX_K, seed: int = 42, distance: str = "euclidean"):
     """(table of select_k, centroids of the chosen K as (cluster, center)) of (id, vector).
 
-    K = 1 is the mean of all points; larger ones are fitted by Spark ML, a few at a time.
+    K = 1 is the mean of all points, by cosine their mean direction; larger ones are fitted by Spark ML, a few at a
+    time. Dispersions are summed squared distances, or summed cosine distances, for every K alike. Zero vectors have
+    no direction and take no part in a fit by cosine.
     """
     spark = points.sparkSession
+    if distance == "cosine":
+        points = points.filter(dot(F.col("vector"), F.col("vector")) > 0)
     vectors = points.select(array_to_vector(F.col("vector")).alias("features")).persist()
     try:
         n = vectors.count()
         top = min(max_k, n)
-        one = mean_centroids(points.withColumn("all", F.lit(0)), "all").first()
-        if one is None:
+        if not n:
             raise ValueError("no points to cluster")
-        spread = dispersion(points.select(F.lit(1).alias("k"), F.lit(0).alias("cluster"), "vector")).first()
-        found, centers = [(1, float(spread["dispersion"]))], {1: [list(one["center"])]}
+        if distance == "cosine":
+            center, spread = one_direction(points)
+        else:
+            center = mean_centroids(points.withColumn("all", F.lit(0)), "all").first()["center"]
+            spread = dispersion(points.select(F.lit(1).alias("k"), F.lit(0).alias("cluster"), "vector")).first()["dispersion"]
+        found, centers = [(1, float(spread))], {1: [list(center)]}
 
         def fit(k: int):
             model = KMeans(k=k, seed=seed, distanceMeasure=distance).fit(vectors)
