@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,56 @@ def test_stream_replay_adds_nothing(spark, rows, tmp_path):
     assert run("one") == [(1, "b"), (2, "c"), (3, "d")]
 
 
+def test_unseen_keys_over_many_batches(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(I.KeyIndex, "FOLD", 3)
+    table = str(tmp_path / "t")
+    schema = "k bigint, g string, v int"
+
+    def written():
+        return rows(I.read_batches(spark, table, spark.createDataFrame([], schema).schema))
+
+    # A table from before it had an index; batch 1 was empty, batch 2 never came.
+    I.append_batches(table)(spark.createDataFrame([(0, "a", 0), (None, "a", 0)], schema), 0)
+    I.append_batches(table)(spark.createDataFrame([], schema), 1)
+    fold, want = I.append_unseen(table, ["k", "g"], ["v"], buckets=8), {(0, "a"): 0, (None, "a"): 0}
+    rng = random.Random(1)
+    for batch in range(3, 12):
+        some = [(rng.randrange(12), rng.choice("ab"), batch * 10 + i) for i in range(4)]
+        for k, g, v in some:
+            if want.get((k, g), batch * 10) >= batch * 10:
+                want[k, g] = v
+        for _ in range(2 if batch % 4 == 0 else 1):  # some batches are run again
+            fold(spark.createDataFrame(some, schema), batch)
+    assert written() == sorted(((k, g, v) for (k, g), v in want.items()), key=repr)
+
+
+def test_unseen_keys_read_their_buckets_only(spark, rows, tmp_path):
+    table = str(tmp_path / "t")
+    fold = I.append_unseen(table, ["k"], buckets=16)
+    fold(spark.range(100).toDF("k"), 0)
+    index = I.KeyIndex(spark, table, spark.range(1).toDF("k").schema, buckets=5)
+    assert index.buckets == 16
+    assert rows(index.met(spark.range(99, 103).toDF("k"), 1)) == [(99,), (100,), (101,), (102,)][:1]
+    asked = index._bucketed(spark.range(7, 8).toDF("k")).first()["key_bucket"]
+    spoiled = [p for p in tmp_path.glob("t-keys/level=0/number=0/key_bucket=*/*.parquet") if p.parent.name != f"key_bucket={asked}"]
+    assert len(spoiled) == 15
+    for path in spoiled:
+        path.with_name(f".{path.name}.crc").unlink()
+        path.write_bytes(b"no table")
+    assert rows(index.met(spark.range(7, 8).toDF("k"), 1)) == [(7,)]
+
+
+def test_unseen_keys_after_a_lost_position(spark, rows, tmp_path):
+    table = str(tmp_path / "t")
+    fold = I.append_unseen(table, ["k"])
+    for batch, (low, high) in enumerate([(0, 2), (1, 4), (3, 5)]):
+        fold(spark.range(low, high).toDF("k"), batch)
+    # The stream starts again, with other batches under the same numbers.
+    for batch, (low, high) in enumerate([(0, 4), (2, 5), (4, 6)]):
+        fold(spark.range(low, high).toDF("k"), batch)
+    assert rows(spark.read.parquet(table).select("k")) == [(i,) for i in range(6)]
+
+
 def test_dedup_within_a_watermark(spark, rows, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     at = datetime.datetime(2024, 1, 1)
