@@ -255,17 +255,87 @@ def test_whiten(spark):
     assert white[:, 0].std() == pytest.approx(1) and (white[:, 1] == 5).all()
 
 
-def test_net_table_scores_like_the_trained_net(spark):
-    pick = random.Random(2)
-    data = [([pick.random(), pick.random(), pick.random()], 0) for _ in range(60)]
-    df = spark.createDataFrame([(x, int(x[0] + x[1] > 1)) for x, _ in data], "input array<double>, label int")
-    fitted = network.train(df, max_iter=30)
-    assert fitted.getLayers() == [3, 3, 2]
-    ours = network.forward(df, network.model_table(spark, fitted)).select(F.col("output")[0].alias("p"), "label").collect()
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    theirs = fitted.transform(df.withColumn("features", array_to_vector("input"))).select(vector_to_array("probability")[1]).collect()
-    assert [r["p"] for r in ours] == pytest.approx([r[0] for r in theirs])
+def plain_net(rows, matrices, passes, rate=0.3, momentum=0.1):
+    """Row-by-row back-propagation with scalar loops; weights, and the error of the last pass."""
+    w = [m.tolist() for m in matrices]
+    change = [[[0.0] * (len(node) - 1) for node in layer] for layer in w]
+    for _ in range(passes):
+        errors = []
+        for given, wanted in rows:
+            outs = [list(given)]
+            for layer in w:
+                outs.append([1 / (1 + math.exp(-(node[-1] + sum(a * b for a, b in zip(node, outs[-1]))))) for node in layer])
+            errors.append(sum((t - o) ** 2 for t, o in zip(wanted, outs[-1])) / len(wanted))
+            deltas = [[(t - o) * o * (1 - o) for t, o in zip(wanted, outs[-1])]]
+            for k in range(len(w) - 1, 0, -1):
+                back = [sum(d * node[i] for d, node in zip(deltas[0], w[k])) for i in range(len(outs[k]))]
+                deltas.insert(0, [b * o * (1 - o) for b, o in zip(back, outs[k])])
+            for k, layer in enumerate(w):
+                for n, node in enumerate(layer):
+                    for i, x in enumerate(outs[k]):
+                        change[k][n][i] = rate * deltas[k][n] * x + momentum * change[k][n][i]
+                        node[i] += change[k][n][i]
+                    node[-1] += rate * deltas[k][n]
+    return w, sum(errors) / len(errors)
+
+
+NET_ROWS = "input array<double>, output array<double>"
+
+
+def corners(n, seed=2):
+    """Points near three corners of a square, with one output for each corner."""
+    pick = random.Random(seed)
+    out = []
+    for i in range(n):
+        x, y = ((0.1, 0.1), (0.9, 0.1), (0.5, 0.9))[i % 3]
+        out.append(([x + pick.uniform(-0.1, 0.1), y + pick.uniform(-0.1, 0.1)], [float(i % 3 == c) for c in range(3)]))
+    return out
+
+
+@pytest.mark.parametrize("hidden", [None, [3, 2]])
+def test_one_partition_learns_row_by_row(spark, hidden):
+    data = corners(20)
+    net = network.train(spark.createDataFrame(data, NET_ROWS).coalesce(1), hidden=hidden, passes=3)
+    first = network._first_weights([2, *(hidden or [3]), 3], 42)
+    want, error = plain_net(data, first, 3)
+    got = [[*r["weights"], r["bias"]] for r in net.model.orderBy("layer", "node").collect()]
+    assert net.passes == 3 and net.error == pytest.approx(error)
+    for a, b in zip(got, [node for layer in want for node in layer], strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_partitions_learn_three_classes_and_stop_by_error(spark):
+    df = spark.createDataFrame(corners(3000), NET_ROWS).repartition(4)
+    net = network.train(df, passes=60, error=0.01)
+    assert net.passes < 60 and net.error <= 0.01
+    fresh = network.forward(spark.createDataFrame(corners(300, 5), NET_ROWS), net.model).collect()
+    assert all(np.argmax(r["output"]) == i % 3 for i, r in enumerate(fresh))
+    # The classes change with the inputs only: the outputs are one for each class.
+    assert len(fresh[0]["output"]) == 3
+
+
+def test_training_leaves_out_unusable_rows(spark):
+    data = corners(9)
+    odd = [(None, [0.0] * 3), ([0.1, 0.2], None), ([None, 0.1], [0.0] * 3), ([float("nan"), 0.1], [0.0] * 3), ([0.1, 0.1], [float("inf")] * 3)]
+    plain = network.train(spark.createDataFrame(data, NET_ROWS).coalesce(1), passes=2).model.collect()
+    assert network.train(spark.createDataFrame(data + odd, NET_ROWS).coalesce(1), passes=2).model.collect() == plain
+    for wrong in ([], odd, [*data, ([1.0], [0.0] * 3)]):
+        with pytest.raises(ValueError, match="training needs rows"):
+            network.train(spark.createDataFrame(wrong, NET_ROWS))
+
+
+def test_large_net_runs_through_a_join_with_the_same_outputs(spark, monkeypatch):
+    drawn = np.random.default_rng(1)
+    model = network.model_table(spark, [drawn.normal(size=(600, 3)), drawn.normal(size=(4, 601))])
+    data = spark.createDataFrame([(i, x, x) for i, (x, _) in enumerate(corners(30))] + [(30, None, None)], "id int, input array<double>, _in array<double>")
+    want = {r["id"]: r["output"] for r in network.forward(data, model).collect()}
+    monkeypatch.setattr(network, "LITERAL_WEIGHTS", 100)
+    joined = network.forward(data, model)
+    assert joined.columns == ["id", "input", "_in", "output"]
+    got = {r["id"]: r["output"] for r in joined.collect()}
+    assert got.keys() == want.keys() and got[30] is None is want[30]
+    for i in range(30):
+        assert got[i] == pytest.approx(want[i])
 
 
 def test_sparse_and_dense(spark, rows, monkeypatch):

@@ -91,7 +91,8 @@ def _net_rows(spark, sf_dir) -> DataFrame:
 
 
 def _trained(spark, sf_dir) -> DataFrame:
-    return N.model_table(spark, N.train(_net_rows(spark, sf_dir)))
+    rows = _net_rows(spark, sf_dir).select("input", F.array(F.col("label").cast("double")).alias("output"))
+    return N.train(rows, passes=20).model
 
 
 def mlp_train(spark, sf_dir):
