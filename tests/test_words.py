@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,20 @@ def test_vocabulary_is_dense(spark):
     words = words_of(spark, *[f"w{i % 500}" for i in range(1000)])
     got = {r["word"]: r["idx"] for r in counts.vocab_index(words).collect()}
     assert sorted(got.values()) == list(range(501)) and "DEFAULT" in got
+
+
+def test_counts_in_row_move_nothing_and_match_a_plain_count(spark):
+    texts = [None, "", "  ?! ", "b a b", "x", "a b a, b-c! a " * 3000, " ".join(f"w{'abcdefghij'[i % 10]}" for i in range(997))]
+    source = spark.createDataFrame(list(enumerate(texts)), "item int, text string")
+    want = {}
+    for item, text in enumerate(texts):
+        for word in re.findall("[a-z{-æøå]+", (text or "").lower()) or [""]:
+            want[item, word] = want.get((item, word), 0) + 1
+    counted = counts.item_words(source)
+    assert {(r["item"], r["word"]): r["n"] for r in counted.collect()} == want
+    assert counted.count() == len(want) and dict(counted.dtypes)["n"] == "bigint"
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    tokens = spark.createDataFrame([(1, ["b", None, "a", "b", None]), (2, []), (3, None)], "item int, tokens array<string>")
+    got = sorted(map(tuple, counts.term_counts(tokens, "tokens").collect()), key=repr)
+    assert got == sorted([(1, None, 2), (1, "a", 1), (1, "b", 2)], key=repr)

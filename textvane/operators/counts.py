@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import bow_tokens, words
 from .numbering import number_distinct
@@ -27,32 +27,48 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.least(F.sum("cnt"), F.lit(COUNT_MAX).cast("bigint")).alias("cnt"))
 
 
-def by_item(source: DataFrame) -> DataFrame:
-    """Texts placed by item; nothing is moved where they already are."""
-    return source.repartition("item")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once a row, however often `use` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def counts_in_row(tokens: Column) -> Column:
+    """The distinct tokens of an array with their counts, as an array of (word, n): the runs of the sorted array."""
+
+    def runs(ordered: Column) -> Column:
+        def begins(i: Column) -> Column:
+            return (i == 0) | ~ordered[i].eqNullSafe(ordered[F.greatest(i - 1, F.lit(0))])
+
+        def sized(begin: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(begin, k + 1), F.size(ordered))
+            return F.transform(begin, lambda at, k: F.struct(ordered[at].alias("word"), (end(k) - at).cast("bigint").alias("n")))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), begins)
+        return F.when(F.size(ordered) > 0, once(places, sized))
+
+    return once(F.sort_array(tokens), runs)
+
+
+def _unfold(source: DataFrame, tokens: Column) -> DataFrame:
+    return source.select("item", F.explode(counts_in_row(tokens)).alias("_c")).select("item", "_c.word", "_c.n")
 
 
 def item_words(source: DataFrame) -> DataFrame:
-    """(item, word, n) of every (item, text), one empty word for a text without words.
+    """(item, word, n) of every (item, text), one row an item; one empty word for a text without words.
 
-    The texts are placed by item, so that counting needs no shuffle of the tokens.
+    Words are counted inside the row: neither texts nor tokens are moved.
     """
-    tokens = by_item(source).select("item", F.explode_outer(words(F.col("text"))).alias("word"))
-    tokens = tokens.select("item", F.coalesce("word", F.lit("")).alias("word"))
-    return tokens.groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
+    return _unfold(source, once(words(F.col("text")), lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(F.lit("")))))
 
 
 def item_bow_words(source: DataFrame) -> DataFrame:
-    """(item, word, n) of the blank-joined tokens, as the linear models read them."""
-    tokens = bow_tokens(F.array_join(words(F.col("text")), " "))
-    counted = by_item(source).select("item", F.explode(tokens).alias("word")).groupBy("item", "word")
-    return counted.agg(F.count(F.lit(1)).alias("n"))
+    """(item, word, n) of the blank-joined tokens, as the linear models read them; one row an item."""
+    return _unfold(source, bow_tokens(F.array_join(words(F.col("text")), " ")))
 
 
 def term_counts(source: DataFrame, tokens_column: str) -> DataFrame:
-    """(item, word, n) from an array column of tokens."""
-    exploded = by_item(source).select("item", F.explode(tokens_column).alias("word"))
-    return exploded.groupBy("item", "word").agg(F.count(F.lit(1)).alias("n"))
+    """(item, word, n) from an array column of tokens, one row an item."""
+    return _unfold(source, F.col(tokens_column))
 
 
 def vocab_index(words: DataFrame, sentinels: Iterable[str] = ("DEFAULT",)) -> DataFrame:
