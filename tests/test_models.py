@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -392,3 +394,32 @@ def test_dense_rows_with_null_and_repeated_keys(spark, monkeypatch):
     assert {tuple(r) for r in network.dense_from_sparse(records, "row", "key", "value").collect()} == want
     monkeypatch.setattr(network, "LITERAL_KEYS", 1)
     assert {tuple(r) for r in network.dense_from_sparse(records, "row", "key", "value").collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_recommendations_rank_cleaned_texts_by_all_models(spark):
+    from textvane.plans import relevance, spelled
+
+    sf_dir = "/root/testdata/sf0.001"
+    labels = [tuple(r) for r in relevance._labels(spark, sf_dir).select("user", "item", "label").collect()]
+    texts = {}
+    for r in spelled.clean_titles(spark, sf_dir).collect():
+        texts[r["item"]] = re.findall("[a-z{-æøå]+", r["processed"]) or [""]
+    got = relevance.recommended_items(spark, sf_dir).collect()
+    for user in {u for u, _, _ in labels}:
+        labelled = {i: y for u, i, y in labels if u == user and i in texts}
+        mine = sorted((r for r in got if r["user"] == user), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+        assert {r["item"] for r in mine} == texts.keys() - {i for u, i, _ in labels if u == user}
+        assert all(a["weighted"] >= b["weighted"] for a, b in zip(mine, mine[1:]))
+        count = {y: Counter(w for i, z in labelled.items() if z == y for w in texts[i]) for y in "01"}
+        vocabulary = len(count["0"] | count["1"])
+        for r in mine:
+            s = {
+                y: math.log(sum(z == y for z in labelled.values()) + 0.02)
+                + sum(math.log((count[y][w] + 0.05) / (count[y].total() + vocabulary * 0.05)) for w in texts[r["item"]])
+                for y in "01"
+            }
+            assert r["nb"] == pytest.approx(1 / (1 + math.exp(min(700, s["0"] - s["1"]))), abs=2e-6)
+            low, high = min(r["bow"], r["tfidf"], r["nb"]), max(r["bow"], r["tfidf"], r["nb"])
+            assert low - 2e-6 <= r["weighted"] <= high + 2e-6

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textvane.functions.text import EDIT_LETTERS
 from textvane.operators import numbering, skew, tables as T
-from textvane.sources import html as H
+from textvane.sources import html as H, tables
 from textvane.sources.incremental import window_start
 from textvane.sources.jsonrows import from_json_rows, to_json_rows
 from textvane.sources.schemas import TENDER, snake_columns
@@ -40,12 +40,24 @@ def test_upsert_rewrites_only_touched_buckets(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     write_buckets(spark.range(50).select(F.col("id").alias("k"), F.lit("old").alias("v")), path, ["k"], 8)
     before = {str(f) for f in (tmp_path / "t").rglob("*.parquet")}
-    upsert_buckets(spark, spark.createDataFrame([(7, "new"), (99, "new")], "k bigint, v string"), path, ["k"], 8)
+    upsert_buckets(spark, spark.createDataFrame([(7, "new"), (99, "new")], "k bigint, v string"), path, ["k"])
     got = dict(map(tuple, spark.read.parquet(path).select("k", "v").collect()))
     assert len(got) == 51 and got[7] == got[99] == "new" and got[8] == "old"
     assert len(before & {str(f) for f in (tmp_path / "t").rglob("*.parquet")}) >= 6
 
 
+def test_bucket_count_follows_the_rows_and_is_kept(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(tables, "MIN_BUCKETS", 2)
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 10)
+    write_buckets(spark.range(45).select(F.col("id").alias("k"), F.lit("old").alias("v")), path, ["k"])
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 3)
+    upsert_buckets(spark, spark.range(40, 50).select(F.col("id").alias("k"), F.lit("new").alias("v")), path, ["k"])
+    got = list(map(tuple, spark.read.parquet(path).select("k", "v", "bucket").collect()))
+    assert sorted(r[:2] for r in got) == [(k, "old" if k < 40 else "new") for k in range(50)]
+    assert {r[2] for r in got} == set(range(5))
+
+
 def test_reading_and_appending(spark, tmp_path):
     append_rows(spark.range(3), str(tmp_path / "a"))
     append_rows(spark.range(2), str(tmp_path / "a"))
@@ -78,11 +90,13 @@ def test_salted_join_equals_plain_join(spark, rows):
         assert rows(got.select("id", "v")) == rows(big.join(lookup, "k", how).select("id", "v"))
 
 
-def test_grid_in_blocks_equals_grid_in_plan(spark, rows):
+def test_grid_in_blocks_equals_grid_in_plan(spark, rows, monkeypatch):
     few, many = spark.range(23).withColumnRenamed("id", "a"), spark.range(17).withColumnRenamed("id", "b")
     want = sorted(((a, b) for a in range(23) for b in range(17)), key=repr)
     assert rows(skew.grid(few, many)) == want
     assert rows(skew.grid(few, many, literal_rows=5, slices=3)) == want
+    monkeypatch.setattr(skew, "SLICE_ROWS", 4)
+    assert rows(skew.grid(few, many, literal_rows=5)) == want
     assert skew.grid(few.limit(0), many).count() == 0
 
 
@@ -203,6 +217,8 @@ def test_defaults(spark):
     df = spark.createDataFrame([(None, None), ("n", 3)], "name string, time bigint")
     filled = T.with_defaults(df).collect()
     assert filled[1]["name"] == "n" and filled[1]["time"] == 3 and len(filled[0]["name"]) == 36 and filled[0]["time"] > 0
+    labelled = T.with_defaults(spark.createDataFrame([(None,), ("0",)], "label string")).collect()
+    assert [r["label"] for r in labelled] == ["1", "0"]
 
 
 def test_letters():

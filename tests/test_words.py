@@ -241,3 +241,17 @@ def test_counts_in_row_move_nothing_and_match_a_plain_count(spark):
     tokens = spark.createDataFrame([(1, ["b", None, "a", "b", None]), (2, []), (3, None)], "item int, tokens array<string>")
     got = sorted(map(tuple, counts.term_counts(tokens, "tokens").collect()), key=repr)
     assert got == sorted([(1, None, 2), (1, "a", 1), (1, "b", 2)], key=repr)
+
+
+def test_inflections_of_any_length_equal_brute_force(spark):
+    pick = random.Random(4)
+    stems = ["".join(pick.choice("ab") for _ in range(n)) for n in (1, 3, 39, 40, 41, 60)]
+    entries = sorted({(b, b + "".join(pick.choice("ab") for _ in range(pick.randrange(4))) + pick.choice(["", b[:2], b])) for b in stems for _ in range(12)})
+    df = spark.createDataFrame([(b, f, "subst", n) for n, (b, f) in enumerate(entries)], "base string, full string, clazz string, line_no long")
+    lemma = {}
+    for b, f in entries:
+        lemma[f] = f if (f, f) in entries else lemma.get(f, b)
+    want = {(w, f, f[len(w):]) for w, base in lemma.items() for b, f in entries if b == base and w in f and len(w) < len(f)}
+    got = list(map(tuple, lexicon.alt_endings(df).collect()))
+    assert len(want) > 50 and any(len(w) > 40 for w, _, _ in want)
+    assert len(got) == len(set(got)) and set(got) == want

@@ -11,6 +11,8 @@ HOT_SHARE = 0.002
 SALTS = 32
 # Up to this many rows one side of a grid travels as a literal array.
 LITERAL_ROWS = 1000
+# Rows of the other side in a slice of a larger grid, and so pairs of a cell up to this times LITERAL_ROWS.
+SLICE_ROWS = 10_000
 
 
 def spread(df: DataFrame, key: str, per_task: int = 4 << 20) -> DataFrame:
@@ -67,12 +69,12 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def grid(few: DataFrame, many: DataFrame, literal_rows: int = LITERAL_ROWS, slices: int = 64) -> DataFrame:
+def grid(few: DataFrame, many: DataFrame, literal_rows: int = LITERAL_ROWS, slices: int | None = None) -> DataFrame:
     """Every row of `few` beside every row of `many` (columns must differ).
 
     A counted short side is put into the plan as an array and unfolded, which moves nothing.
-    A longer one is cut into blocks, the other into slices, and each (block, slice) cell is
-    one join key, so the work is even over cells whatever the values are.
+    A longer one is cut into blocks, the other into slices, both as many as their rows ask for, and
+    each (block, slice) cell is one join key, so the work is even over cells whatever the values are.
     """
     head = few.limit(literal_rows + 1).collect()
     if len(head) <= literal_rows:
@@ -88,6 +90,7 @@ def grid(few: DataFrame, many: DataFrame, literal_rows: int = LITERAL_ROWS, slic
         )
         return many.select(F.explode(rows).alias("_few"), *many.columns).select("_few.*", *many.columns)
     blocks = -(-few.count() // literal_rows)
+    slices = max(1, -(-many.count() // SLICE_ROWS)) if slices is None else slices
     cells_few = few.select(
         "*",
         F.pmod(F.xxhash64(*few.columns), F.lit(blocks)).alias("_block"),

@@ -95,10 +95,12 @@ def affected_users(new_events: DataFrame) -> DataFrame:
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    """Fill a missing name with a random id and a missing time with now (epoch ms)."""
+    """Fill a missing name with a random id, a missing time with now (epoch ms) and a missing label with "interesting"."""
     out = df
     if "name" in df.columns:
         out = out.withColumn("name", F.coalesce("name", F.expr("uuid()")))
     if "time" in df.columns:
         out = out.withColumn("time", F.coalesce("time", F.unix_millis(F.current_timestamp())))
+    if "label" in df.columns:
+        out = out.withColumn("label", F.coalesce("label", F.lit(LABELS[-1])))
     return out

@@ -11,6 +11,7 @@ from ..operators.skew import hot_values
 from ..session import stage
 from . import roles as R
 from .roles import table
+from .spelled import clean_titles
 
 
 def _counts(spark, sf_dir) -> DataFrame:
@@ -150,13 +151,16 @@ def score_lookup(spark, sf_dir):
     return out.select("user", "item", F.round("p_1", 6).alias("p"))
 
 
-def _linear(spark, sf_dir):
-    labels, items = _labels(spark, sf_dir), R.items(spark, sf_dir)
+def _fitted_linear(labels: DataFrame, items: DataFrame):
     counts = stage(item_bow_words(items), "bow_words")
     rows = stage(linear.with_folds(bayes.training_examples(labels, counts)), "linear_rows")
     return linear.fit_linear(rows), rows, counts, T.unlabelled(labels.select("user"), items, labels)
 
 
+def _linear(spark, sf_dir):
+    return _fitted_linear(_labels(spark, sf_dir), R.items(spark, sf_dir))
+
+
 def linear_scores(spark, sf_dir):
     weights, _, counts, pairs = _linear(spark, sf_dir)
     return linear.score_linear(weights, pairs, counts)
@@ -170,12 +174,16 @@ def tfidf_scores(spark, sf_dir):
     return linear_scores(spark, sf_dir).select("user", "item", F.round("tfidf", 6).alias("p"))
 
 
-def ensemble_scores(spark, sf_dir):
-    """All three models fitted, weighed by their held-out errors and applied to unlabelled items."""
-    weights, rows, counts, pairs = _linear(spark, sf_dir)
-    plain = _counts(spark, sf_dir)
+def scores_of_all_models(labels: DataFrame, items: DataFrame) -> DataFrame:
+    """(user, item, bow, tfidf, nb, weighted, mean) of the pairs without a label.
+
+    From latest `labels` (user, item, label) and `items` (item, text): three models are fitted for every user,
+    weighed by their errors on held-out items, and applied.
+    """
+    weights, rows, counts, pairs = _fitted_linear(labels, items)
+    plain = stage(item_words(items), "item_words")
     hot = hot_values(plain, "word")
-    examples = stage(bayes.training_examples(_labels(spark, sf_dir), plain), "examples")
+    examples = stage(bayes.training_examples(labels, plain), "examples")
     model = bayes.fit(examples)
     held = linear.held_out_linear(weights, rows).join(
         bayes.leave_one_out(model, examples, hot).select("user", "item", F.col("p_1").alias("nb")), ["user", "item"]
@@ -188,10 +196,26 @@ def ensemble_scores(spark, sf_dir):
     return ensemble.ensemble_scores(scores, shares)
 
 
+def ensemble_scores(spark, sf_dir):
+    """All three models fitted, weighed by their held-out errors and applied to unlabelled items."""
+    return scores_of_all_models(_labels(spark, sf_dir), R.items(spark, sf_dir))
+
+
+def recommended_items(spark, sf_dir):
+    """What each user has not labelled, best first by the weighted score of all models over cleaned texts, with its fields."""
+    cleaned = clean_titles(spark, sf_dir).withColumnRenamed("processed", "text")
+    scores = scores_of_all_models(_labels(spark, sf_dir), stage(cleaned, "cleaned"))
+    ranked = number_rows(scores, [F.desc("weighted"), F.col("item")], ["user"], "rank")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "lang", "source", "n_chars")
+    shown = [F.round(c, 6).alias(c) for c in (*ensemble.MODELS, "weighted")]
+    return ranked.join(docs, "item").select("user", "rank", "item", "lang", "source", "n_chars", *shown)
+
+
 QUERIES = {
     "bow_scores": bow_scores,
     "tfidf_scores": tfidf_scores,
     "ensemble_scores": ensemble_scores,
+    "recommended_items": recommended_items,
     "training_examples": training_examples,
     "nb_stats": nb_stats,
     "nb_word_counts": nb_word_counts,

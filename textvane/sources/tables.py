@@ -47,20 +47,36 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).mode("append").save(path)
 
 
-def write_buckets(df: DataFrame, path: str, key: Sequence[str], buckets: int = 64) -> None:
-    """Write a keyed table in hash buckets, so that an upsert rewrites only the buckets it touches."""
+# Rows of a hash bucket of a new table, which also has at least so many buckets.
+BUCKET_ROWS, MIN_BUCKETS = 1_000_000, 64
+
+
+def _layout(path: str) -> str:
+    """Where the bucket count of a table lies: readers of the table pass over names with an underscore."""
+    return os.path.join(path, "_buckets")
+
+
+def write_buckets(df: DataFrame, path: str, key: Sequence[str], buckets: int | None = None) -> None:
+    """Write a keyed table in hash buckets, so that an upsert rewrites only the buckets it touches.
+
+    The number of buckets follows the rows unless given, and is kept with the table.
+    """
+    if buckets is None:
+        buckets = max(MIN_BUCKETS, -(-df.count() // BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
     df.withColumn("bucket", bucket).repartition("bucket", *key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    df.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").json(_layout(path))
 
 
-def upsert_buckets(spark: SparkSession, incoming: DataFrame, path: str, key: Sequence[str], buckets: int = 64) -> None:
-    """Insert or update `incoming` (one row per key) in a table made by write_buckets.
+def upsert_buckets(spark: SparkSession, incoming: DataFrame, path: str, key: Sequence[str]) -> None:
+    """Insert or update `incoming` (one row per key) in a table made by write_buckets, by the bucket count kept there.
 
     The rewritten buckets are staged first: a file set cannot be read and replaced in one job.
     """
     from ..operators.tables import upsert
-    from ..session import stage
+    from ..session import discard, stage
 
+    buckets = spark.read.schema("buckets int").json(_layout(path)).first()["buckets"]
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
     incoming = incoming.withColumn("bucket", bucket)
     touched = [r[0] for r in incoming.select("bucket").distinct().collect()]  # at most `buckets` numbers
@@ -73,3 +89,4 @@ def upsert_buckets(spark: SparkSession, incoming: DataFrame, path: str, key: Seq
         .partitionBy("bucket")
         .parquet(path)
     )
+    discard(merged)
