@@ -357,6 +357,27 @@ def test_token_files_without_index(spark, tmp_path):
     assert sorted((r["ordinal"], r["n_tokens"]) for r in rows) == [(0, 2), (1, 0), (2, 3)]
 
 
+@pytest.mark.parametrize("group", [1, 3, 64])
+def test_token_files_of_many_groups_and_wide_ids(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(tokencounts, "GROUP", group)
+    drawn, want = np.random.default_rng(group), []
+    wraps = 50256 + (1 << 16)  # the separator, if cut to 16 bits
+    for name, share in (("a", 0.3), ("b", 0.01), ("c", 0.0), ("d", 1.0)):
+        ids = np.where(drawn.random(157) < share, 50256, drawn.choice([7, wraps, 199_999], 157))
+        ids.astype("<u4").tofile(tmp_path / f"{name}.bin")
+        documents = "".join("|" if x == 50256 else "x" for x in ids).split("|")
+        documents = documents if documents[-1] else documents[:-1]
+        want += [(name, i, len(d)) for i, d in enumerate(documents)]
+    (tmp_path / "e.bin").write_bytes(b"")
+    rows = tokencounts.token_counts(tokencounts.read_flat(spark, str(tmp_path), 4, "<u4"), block=4, kind="<u4").collect()
+    assert sorted((r["file"][-5], r["ordinal"], r["n_tokens"]) for r in rows) == sorted(want)
+
+
+def test_width_of_token_ids_follows_the_tokenizer(monkeypatch):
+    assert tokencounts.id_type() == "<u2"
+    assert tokencounts.id_type(end_id=1 << 16) == "<u4"
+
+
 def test_url_rules_nest(spark):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "a.example.net", "/en/x"), ("allow", "org", "/fr/"), ("block", None, "/")]
     addresses = ["http://A.Example.NET/en/xy?q", "https://b.example.net/en/", "http://example.net", "http://net/", "http://notnet.org/fr/a#b", "http://org/de",

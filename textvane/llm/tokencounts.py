@@ -2,7 +2,8 @@
 
 A file is one run of ids in which every document ends with a separator. It is read in blocks of
 fixed size that know nothing of documents; each block finds its separators in one vector
-comparison, and a prefix scan over the blocks of a file stitches the documents that cross them.
+comparison, and a prefix scan over the blocks of a file stitches the documents that cross them: first
+over groups of blocks by their totals, then inside each group.
 """
 
 from __future__ import annotations
@@ -14,22 +15,28 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import new_path
+from ..session import new_path, stage
 from . import tokenizer
 
 BLOCK = 1 << 16
 END_ID = 50256
-ID_TYPE = "<u2"  # ids of the default tokenizer fit 16 bits
+GROUP = 64  # blocks that one task scans with their documents' lengths
+
+
+def id_type(path: str = tokenizer.DEFAULT, end_id: int = END_ID) -> str:
+    """The narrowest form of an id that holds every id of a tokenizer, and the separator."""
+    return "<u2" if max(tokenizer.encoding(path).max_token_value, end_id) < 1 << 16 else "<u4"
 
 
 def write_flat(docs: DataFrame, path: str = tokenizer.DEFAULT, end_id: int = END_ID, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(blocks, names): the flat files of (doc_id, text), one a task, and which document came in which place.
 
-    blocks: file, block, tokens (16 bits an id; all but a file's last have `block` ids).
+    blocks: file, block, tokens (ids as `id_type` says; all but a file's last have `block` ids).
     names: file, ordinal, doc_id. A special token spelt out in a text is plain text, so the separator
     marks ends only. Null texts have no ids but their separator.
     """
     schema = "file int, block long, tokens binary, ordinal long, doc_id long"
+    kind = id_type(path, end_id)
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, ordinal = TaskContext.get().partitionId(), 0, 0
@@ -50,10 +57,10 @@ def write_flat(docs: DataFrame, path: str = tokenizer.DEFAULT, end_id: int = END
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 for text in batch.column(1).to_pylist():
-                    got = np.append(tokenizer.ids(text, path, special=False), end_id).astype(ID_TYPE)
+                    got = np.append(tokenizer.ids(text, path, special=False), end_id).astype(kind)
                     held.append(got)
                     have += len(got)
-                run = np.concatenate(held) if held else np.zeros(0, ID_TYPE)
+                run = np.concatenate(held) if held else np.zeros(0, kind)
                 full = have // block
                 yield rows([run[k * block:(k + 1) * block].tobytes() for k in range(full)], number,
                            batch.column(0).to_pylist(), ordinal)
@@ -70,11 +77,11 @@ def write_flat(docs: DataFrame, path: str = tokenizer.DEFAULT, end_id: int = END
             stored.filter("ordinal is not null").select("file", "ordinal", "doc_id"))
 
 
-def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+def read_flat(spark: SparkSession, path: str, block: int = BLOCK, kind: str = "<u2") -> DataFrame:
     """Blocks (file, block, tokens) of binary files of ids below `path`; `file` is the file's path."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = block * np.dtype(ID_TYPE).itemsize
+        width = block * np.dtype(kind).itemsize
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = [content[k:k + width] for k in range(0, len(content), width)]
@@ -86,19 +93,19 @@ def read_flat(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     return files.mapInArrow(cut, "file string, block long, tokens binary")
 
 
-def token_counts(blocks: DataFrame, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
-    """(file, ordinal, n_tokens): the ids before each separator, which itself is not counted.
+def token_counts(blocks: DataFrame, end_id: int = END_ID, block: int = BLOCK, kind: str = "<u2") -> DataFrame:
+    """(file, ordinal, n_tokens): the ids (each as `kind`) before each separator, which itself is not counted.
 
     Ids after a file's last separator make one more document. Empty documents count 0; a document
     may cross any number of blocks. Files without ids give nothing.
     """
-    kind = dict(blocks.dtypes)["file"]
+    file_type = dict(blocks.dtypes)["file"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             firsts, lasts, counts, gaps, ends = [], [], [], [], []
             for number, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(raw, ID_TYPE)
+                ids = np.frombuffer(raw, kind)
                 at = np.flatnonzero(ids == end_id) + number * block
                 counts.append(len(at))
                 firsts.append(int(at[0]) if len(at) else None)
@@ -111,14 +118,21 @@ def token_counts(blocks: DataFrame, end_id: int = END_ID, block: int = BLOCK) ->
             ], names=["file", "block", "n", "first", "last", "gaps", "end"])
 
     found = blocks.select("file", "block", "tokens").mapInArrow(
-        scan, f"file {kind}, block long, n long, first long, last long, gaps array<long>, end long")
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy("file").orderBy("block")
-    scanned = found.select(
+        scan, f"file {file_type}, block long, n long, first long, last long, gaps array<long>, end long")
+    # Read for the totals of the groups and again for their blocks.
+    found = stage(found.withColumn("part", F.floor(F.col("block") / GROUP)), "separators")
+    totals = found.groupBy("file", "part").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("block").alias("top"))
+    whole, before = Window.partitionBy("file"), Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.select(
+        "file", "part", F.sum("n").over(before).alias("n_before"), F.max("last").over(before).alias("last_before"),
+        F.max("top").over(whole).alias("top"))
+    earlier = Window.partitionBy("file", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = found.select("*", F.max("last").over(earlier).alias("near"), F.sum("n").over(earlier).alias("n_near"))
+    scanned = inside.join(groups, ["file", "part"]).select(
         "file", "first", "gaps", "end", "last",
-        F.coalesce(F.last("last", ignorenulls=True).over(earlier), F.lit(-1)).alias("open"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
-        F.lead("block").over(order).isNull().alias("final"))
+        F.coalesce("near", "last_before", F.lit(-1)).alias("open"),
+        (F.coalesce("n_before", F.lit(0)) + F.coalesce("n_near", F.lit(0))).alias("base"),
+        (F.col("block") == F.col("top")).alias("final"))
     lengths = F.when(F.col("first").isNull(), F.expr("cast(array() as array<bigint>)")).otherwise(
         F.concat(F.array(F.col("first") - F.col("open") - 1), "gaps"))
     tail = F.col("end") - F.coalesce("last", "open") - 1
@@ -130,4 +144,4 @@ def token_counts(blocks: DataFrame, end_id: int = END_ID, block: int = BLOCK) ->
 def count_tokens(docs: DataFrame, path: str = tokenizer.DEFAULT) -> DataFrame:
     """(doc_id, n_tokens) of every row of `docs`, read back from its flat token files."""
     blocks, names = write_flat(docs, path)
-    return names.join(token_counts(blocks), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return names.join(token_counts(blocks, kind=id_type(path)), ["file", "ordinal"]).select("doc_id", "n_tokens")
