@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textvane.functions import text as X
 from textvane.operators import compound, counts, lexicon, spelling
 from textvane.operators.cleaning import clean_texts
-from textvane.sources.textfiles import read_labelled_dirs, read_lines
+from textvane.sources.textfiles import read_labelled_dirs, read_lines, write_labelled_dirs
 
 
 def by_repr(values):
@@ -76,6 +76,20 @@ def test_labelled_dirs(spark, rows, tmp_path):
     assert rows(read_labelled_dirs(spark, str(tmp_path))) == by_repr([("news", "avis"), ("sport", "ball\nmål")])
 
 
+def test_labelled_texts_are_written_by_the_tasks_one_a_file(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr("textvane.sources.textfiles.FOLDER_TEXTS", 3)
+    texts = [("in_no", "ball\nmål"), ("in_no", "ball\nmål"), (None, "x"), ("", ""), ("a/b:c%", None), *[("in_en", f"t{i}") for i in range(9)]]
+    df = spark.createDataFrame(texts, "label string, text string").repartition(2)
+    plain, ours = str(tmp_path / "plain"), str(tmp_path / "ours")
+    df.write.option("maxRecordsPerFile", 1).partitionBy("label").text(plain)
+    folders = write_labelled_dirs(df, ours)
+    assert len(folders) > 2 and len(list((tmp_path / "ours").rglob("*.txt"))) == len(texts)
+    (tmp_path / "ours" / "lost-000000" / "label=in_no").mkdir(parents=True)
+    (tmp_path / "ours" / "lost-000000" / "label=in_no" / "000000000.txt").write_text("of a lost try")
+    assert rows(read_labelled_dirs(spark, folders)) == rows(read_labelled_dirs(spark, plain))
+    assert rows(read_labelled_dirs(spark, write_labelled_dirs(df.limit(0), str(tmp_path / "none")))) == []
+
+
 def entries(spark, *pairs):
     return spark.createDataFrame([(b, f, "subst", i) for i, (b, f) in enumerate(pairs)], "base string, full string, clazz string, line_no int")
 

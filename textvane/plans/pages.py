@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_path, path_stem, strip_prefix, url_path
 from ..session import new_path
 from ..sources import html as H
-from ..sources.textfiles import read_labelled_dirs
+from ..sources.textfiles import read_labelled_dirs, write_labelled_dirs
 from .roles import table
 
 
@@ -55,10 +55,9 @@ def labelled_files(spark, sf_dir):
 
     The writer ends every file with a line break.
     """
-    path = new_path(spark, "labelled")
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("in_"), "lang").alias("label"), "text")
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("label").text(path)
-    return read_labelled_dirs(spark, path).select(strip_prefix(F.col("label"), "label=").alias("label"), "text")
+    folders = write_labelled_dirs(docs, new_path(spark, "labelled"))
+    return read_labelled_dirs(spark, folders).select(strip_prefix(F.col("label"), "label=").alias("label"), "text")
 
 
 QUERIES = {

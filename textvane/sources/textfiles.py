@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Texts below one folder of `write_labelled_dirs`, so that many folders can be listed side by side.
+FOLDER_TEXTS = 5_000
+# Tasks for each such folder when it is read: one for every few files, as by default, would cost more than reading them.
+READ_TASKS = 2
+# What Spark's writers put for a null, and the characters they escape in the name of a directory.
+NULL_DIRECTORY = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
 
 def read_lines(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
     """(line, line_no) of text files in the given charset.
@@ -34,9 +49,49 @@ def write_lines(lines: DataFrame, path: str, charset: str = "ISO-8859-1") -> Non
     )
 
 
-def read_labelled_dirs(spark: SparkSession, path: str) -> DataFrame:
-    """(label, text): whole files, labelled with the name of their directory."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+def _label_directory(label: str | None) -> str:
+    value = NULL_DIRECTORY if not label else ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", label)
+    return f"label={value}"
+
+
+def _write_texts(path: str) -> Callable:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        place, made, folder, n = uuid.uuid4().hex, set(), "", 0
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if n % FOLDER_TEXTS == 0:
+                    folder = f"{place}-{n // FOLDER_TEXTS:06d}"
+                    yield pa.RecordBatch.from_pydict({"folder": [folder]})
+                where = f"{root}/{folder}/{_label_directory(label)}"
+                if where not in made:
+                    store.create_dir(where)
+                    made.add(where)
+                with store.open_output_stream(f"{where}/{n:09d}.txt", compression=None) as out:
+                    out.write((text or b"") + b"\n")
+                n += 1
+
+    return write
+
+
+def write_labelled_dirs(texts: DataFrame, path: str) -> list[str]:
+    """Write (label, text) one text per file, ended by a line break, in a `label=` directory for each label.
+
+    The directories lie in folders of FOLDER_TEXTS texts, which are returned. A try of a task writes folders of its own and
+    only those of tries that came through are returned, so what a lost try left is never read. The files are written by
+    the tasks themselves: Spark's writer moves each of them once more in the driver, one after the other.
+    """
+    plain = texts.select("label", F.col("text").cast("binary").alias("text"))
+    return [os.path.join(path, r["folder"]) for r in plain.mapInArrow(_write_texts(path), "folder string").collect()]
+
+
+def read_labelled_dirs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(label, text): whole files below one or several folders, labelled with the name of their directory."""
+    if not path:
+        return spark.createDataFrame([], "label string, text string")
+    files = spark.read.option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path), wholetext=True)
+    if not isinstance(path, str):
+        files = files.coalesce(max(READ_TASKS * len(path), 4 * spark.sparkContext.defaultParallelism))
     return files.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("label"),
         F.col("value").alias("text"),
