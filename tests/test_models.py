@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textvane.functions import loss as L, vectors as V
-from textvane.operators import bayes, cluster, ensemble, evaluate, linear, network
+from textvane.operators import bayes, cluster, counts, ensemble, evaluate, linear, network
 
 # Eight documents with known posteriors.
 DOCUMENTS = [
@@ -166,6 +166,40 @@ def test_every_fit_is_optimal_whatever_the_blocks(spark, block_rows):
     assert set(same.values()) == {(None, linear.CERTAIN)} and len(same) == 6
 
 
+def test_a_user_of_a_few_million_rows_is_one_block_of_plain_numbers(spark, monkeypatch):
+    monkeypatch.setattr(linear, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(linear, "WHOLE_ROWS", 10_000)
+    monkeypatch.setattr(linear, "_fit_blocks", None)  # rounds over blocks were taken from BLOCK_ROWS on
+    rng = random.Random(7)
+    documents = [("1" if i % 4 else "0", " ".join(rng.choice([f"k{i % 4}{rng.randrange(5)}", f"w{rng.randrange(40)}"]) for _ in range(12))) for i in range(48)]
+    rows = linear.with_folds(examples_of(spark, documents), loo_limit=20, folds=3)
+    other = rows.filter("item < 30").withColumn("user", F.lit("v"))
+    small = [rows.unionByName(other).select("user", "item", F.lit(0).alias("lane"), F.col("label").eqNullSafe("1").cast("double").alias("positive"), "word", F.col("n").cast("int").alias("n"), "fold").filter("user = 'u'").toArrow()]
+    _, _, item, word, count, fold, y, names = linear._gathered(small[0].to_batches(max_chunksize=7))
+    given = {(r["item"], r["word"]): (r["n"], r["fold"], r["positive"]) for r in small[0].to_pylist()}
+    ids = list(dict.fromkeys(small[0]["item"].to_pylist()))
+    assert {(ids[i], names[w]): (n, fold[i], y[i]) for i, w, n in zip(item, word, count)} == given
+    weights = linear.fit_linear(rows.unionByName(other), tol=0.01, block_rows=20).collect()
+    for user, theirs in (("u", rows), ("v", other)):
+        got = violations([r for r in weights if r["user"] == user], theirs.collect())
+        assert set(got) == {(m, f) for m in ("bow", "tfidf") for f in (-1, 0, 1, 2)}
+        assert all(end <= 0.01 * start * (1 + 1e-9) for end, start in got.values())
+
+
+def test_item_counts_of_users_meet_the_words_without_a_shuffle_by_user(spark):
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, value in zip(kept, ("-1", "false")):
+            spark.conf.set(c, value)
+        out = counts.user_tfidf(examples_of(spark, TITLES), [])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert "BroadcastHashJoin [user" in joins[0] and out.count() == examples_of(spark, TITLES).count()
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+
+
 def test_one_label_only(spark):
     scores, _ = linear_scores(spark, [("0", "a b"), ("0", "b c")], [(9, "a")])
     assert scores[9] == pytest.approx((0.0, 0.0), abs=1e-9)
