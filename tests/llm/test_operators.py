@@ -108,6 +108,23 @@ def test_tree_finds_every_bounded_pair():
         assert set(want) <= set(tree.search(points[i], int(sizes[i]), rule).tolist())
 
 
+def test_unlike_sets_of_any_size_are_held_back_by_their_sketches():
+    """What a tile lets out does not grow with the square of its members: unlike sets stop in it, links never do."""
+    rule, rng = jaccard.Rule(5, 80, 100), np.random.Generator(np.random.PCG64(5))
+    for n in [30, 90, 400, 3000, 12000]:
+        sets = [np.unique(rng.integers(0, 2**63, int(n * x), dtype=np.uint64)) for x in np.linspace(1, 1.2, 12)]
+        near = np.unique(np.concatenate([sets[0][: len(sets[0]) - n // 20], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))
+        sets.append(near)
+        assert rule.linked(len(np.intersect1d(sets[0], near)), len(sets[0]) + len(near))
+        counts = [jaccard.sketch(jaccard.point(s)) for s in sets]
+        packed = [np.frombuffer(jaccard.pack(c), np.uint8) for c in counts]
+        assert all((jaccard.unpack(p) == c).all() for p, c in zip(packed, counts, strict=True))
+        sketches = jaccard.Sketches(packed, np.array([len(s) for s in sets]))
+        pairs = {(i, j) for i in range(len(sets)) for j in sketches.held(i, np.arange(i), rule).tolist()}
+        assert (len(sets) - 1, 0) in pairs
+        assert len(pairs) <= 3, (n, len(pairs))
+
+
 @pytest.mark.parametrize("method", [automata, suffixes])
 def test_repeated_windows_are_brute_force(docs, nothing, method):
     length = method.SHAPE.window

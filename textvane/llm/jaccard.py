@@ -5,7 +5,8 @@ sets the overlap is at most the sum of the smaller counts, so a link needs a sma
 distance. The index is an R-tree in two tiers. Its top tier is the shuffle: two linked sets
 differ in fewer tokens than there are parts of the token space, so one part is the same in both,
 and that part's content names the tile where both meet. Inside a tile a packed R-tree over the
-points bounds the overlap, and pairs that survive are verified on the sets themselves.
+folded points bounds the overlap, sketches that widen with the sets hold what it finds, and pairs
+that survive are verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ FIRST_LEVEL = 9  # the largest set of the first size level; each level doubles i
 LEAF = 16
 TILE_ROWS = 2048
 SKETCH = 64
+# Tokens a group of a sketch holds on average, at most: what unlike sets of any size share by chance stays well below a link.
+SKETCH_SHARE = 4
+# The largest count of a group: a sketch keeps two counts in a byte.
+MOST = 15
+BATCH_COUNTS = 1 << 20
 _PART = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -113,17 +119,17 @@ def tile_keys(tokens: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts per group in a byte each; groups are a power of two, 16 at least, half the tokens up to 1024.
+    """Counts per group in a byte each; groups are a power of two, 16 at least and half the tokens.
 
-    More groups are taken where a count would not fit its byte, so that no count is ever cut.
+    More groups are taken where a count would be above MOST, so that no count is ever cut.
     """
     groups = 16
-    while groups < min(1024, len(tokens) // 2):
+    while groups < len(tokens) // 2:
         groups *= 2
     place = words.mix(tokens ^ np.uint64(7))
     while True:
         counts = np.bincount((place % np.uint64(groups)).astype(np.int64), minlength=groups)
-        if counts.max() < 256:
+        if counts.max() <= MOST:
             return counts.astype(np.uint8)
         groups *= 2
 
@@ -134,19 +140,55 @@ def _fold(p: np.ndarray, groups: int) -> np.ndarray:
 
 
 def sketch(p: np.ndarray) -> np.ndarray:
-    """The point folded to SKETCH groups, or to as many as keep every count in its byte."""
+    """The point folded to SKETCH groups, or to as many as hold SKETCH_SHARE tokens each and no count above MOST."""
     groups = min(SKETCH, len(p))
-    while (folded := _fold(p, groups)).max() > 255:
+    while groups < len(p) and groups * SKETCH_SHARE < int(p.sum(dtype=np.int64)):
+        groups *= 2
+    while (folded := _fold(p, groups)).max() > MOST:
         groups *= 2
     return folded.astype(np.uint8)
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Counts up to MOST, two in a byte."""
+    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def unpack(packed: np.ndarray) -> np.ndarray:
+    """The counts in the last axis of packed bytes."""
+    return np.stack([packed & MOST, packed >> 4], axis=-1).reshape(*packed.shape[:-1], -1)
+
+
 def bound(p: np.ndarray, q: np.ndarray) -> int:
     """At most so many tokens are in both sets."""
     groups = min(len(p), len(q))
     return int(np.minimum(_fold(p, groups), _fold(q, groups)).sum())
 
 
+class Sketches:
+    """The packed sketches of a tile, and which of them allow a link with one of them."""
+
+    def __init__(self, packed: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.packed, self.sizes = packed, sizes
+        self.lengths = np.array([2 * len(x) for x in packed])
+
+    def held(self, i: int, at: np.ndarray, rule: Rule) -> np.ndarray:
+        """Those of `at` whose bound with sketch i allows a link."""
+        own, kept = unpack(self.packed[i]), []
+        for length in np.unique(self.lengths[at]):
+            groups = min(len(own), int(length))
+            same = at[self.lengths[at] == length]
+            step = max(1, BATCH_COUNTS // int(length))
+            for k in range(0, len(same), step):
+                part = same[k:k + step]
+                counts = unpack(np.stack([self.packed[j] for j in part]))
+                if groups < length:
+                    counts = counts.reshape(len(part), -1, groups).sum(axis=1, dtype=np.int32)
+                overlap = np.minimum(counts, _fold(own, groups).astype(counts.dtype)).sum(axis=1, dtype=np.int64)
+                kept.append(part[rule.den * overlap >= rule.num * (self.sizes[part] + self.sizes[i] - overlap)])
+        return np.concatenate(kept) if kept else at
+
+
 class Tree:
     """A packed R-tree: leaves of neighbouring points with the box around each, and boxes around those."""
 
@@ -218,7 +260,7 @@ def _tiles(docs: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, rule: Rule) -> DataFrame:
-    """(id, size, tokens, point, sketch) of the sets `wanted` (doc_id, a), read from those documents; id is the set's a.
+    """(id, size, tokens, point, sketch) of the sets `wanted` (doc_id, a), read from those documents; id is the set's a, the sketch packed.
 
     Sets only move for documents that have one more than once (`repeated`).
     """
@@ -234,7 +276,7 @@ def _members(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, rule: Rule
                 yield pa.RecordBatch.from_arrays([
                     part.column(1).take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()),
                     pa.array([sets[i].tobytes() for i in right], pa.binary()), pa.array([p.tobytes() for p in points], pa.binary()),
-                    pa.array([sketch(p).tobytes() for p in points], pa.binary()),
+                    pa.array([pack(sketch(p)) for p in points], pa.binary()),
                 ], names=["id", "size", "tokens", "point", "sketch"])
 
     schema = "id long, size long, tokens binary, point binary, sketch binary"
@@ -309,14 +351,16 @@ def _tree_join(cells: DataFrame, rule: Rule) -> DataFrame:
         sizes = table.column("size").to_numpy()
         block = table.column("block").to_numpy()
         between = block != table.column("other").to_numpy()
-        raw = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
-        groups = min(map(len, raw))
-        points = np.stack([_fold(p, groups) for p in raw])
+        packed = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        sketches = Sketches(packed, sizes)
+        groups = min(SKETCH, int(sketches.lengths.min()))
+        points = np.stack([_fold(unpack(p), groups) for p in packed])
         tree = Tree(points, sizes)
         left, right = [], []
         for i in range(len(ids)):
             at = tree.search(points[i], int(sizes[i]), rule)
             at = at[(ids[at] < ids[i]) & (group[at] != group[i]) & ((block[at] != block[i]) | ~between[i])]
+            at = sketches.held(i, at, rule)
             left.append(ids[at])
             right.append(np.full(len(at), ids[i]))
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
