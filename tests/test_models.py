@@ -186,6 +186,24 @@ def test_a_user_of_a_few_million_rows_is_one_block_of_plain_numbers(spark, monke
         assert all(end <= 0.01 * start * (1 + 1e-9) for end, start in got.values())
 
 
+def test_steps_of_a_fit_order_their_rows_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    item, word = (x.astype(np.int32) for x in np.unravel_index(rng.permutation(40 * 30)[:500], (40, 30)))
+    item[item == 7], word[word == 3] = 8, 4  # an item and a word without rows
+    value, sign, w = rng.integers(1, 5, 500).astype(float), rng.choice([-1.0, 1.0], 40), rng.normal(size=30)
+    for rows in (1, 16, 1 << 16):
+        monkeypatch.setattr(linear, "CHUNK_ROWS", rows)
+        assert np.allclose(linear._Sums(item, word, value, 40).of(w), np.bincount(item, value * w[word], 40), rtol=1e-12, atol=1e-12)
+        assert np.allclose(linear._Sums(word, item, value, 30).of(sign), np.bincount(word, value * sign[item], 30), rtol=1e-12, atol=1e-12)
+    assert not linear._Sums(item[:0], word[:0], value[:0], 40).of(w).any()
+    # Unordered sums over all rows are taken a few times a round, not at each of its steps.
+    counted, slopes = [], linear._slopes
+    monkeypatch.setattr(linear, "_slopes", lambda *given: counted.append(1) or slopes(*given))
+    y = (np.bincount(item, value * w[word], 40) > 0).astype(float)
+    found, _ = linear._fit(item, word, value, y, 30, linear.COST, 1e-4)
+    assert np.count_nonzero(found) and len(counted) <= 101
+
+
 def test_item_counts_of_users_meet_the_words_without_a_shuffle_by_user(spark):
     kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     try:
