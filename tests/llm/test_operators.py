@@ -182,6 +182,26 @@ def test_heavy_anchor_is_not_indexed_in_one_shard(spark, tmp_path, method):
     assert max(int(f.read_text()) for f in sizes.iterdir()) < 2 * shape.shard_words
 
 
+@pytest.mark.parametrize("module, run", [
+    (passages, lambda docs: suffixes.dedup(docs).rows), (jaccard, lambda docs: jaccard.linked_classes(docs))])
+def test_dedup_sends_texts_in_small_batches(spark, monkeypatch, module, run):
+    name, given, seen = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), []
+    stage = module.stage
+    monkeypatch.setattr(module, "stage", lambda df, label="stage": seen.append(spark.conf.get(name)) or stage(df, label))
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60))) for i in range(3)]
+    assert run(spark.createDataFrame([*rows, (9, rows[0][1])], "doc_id long, text string")).count() == 4
+    assert set(seen) == {"4m"} and spark.conf.get(name) == given
+
+    def fails(df, label="stage"):
+        raise ValueError(label)
+
+    monkeypatch.setattr(module, "stage", fails)
+    with pytest.raises(ValueError):
+        run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert spark.conf.get(name) == given
+
+
 def test_strip_repeats_keeps_columns_and_other_text(docs):
     rows = {r["doc_id"]: r for r in suffixes.dedup(docs).rows.collect()}
     out = suffixes.strip_repeats(docs)

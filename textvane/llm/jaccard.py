@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import discard, stage
+from ..session import discard, small_batches, stage
 from . import buckets, semijoin, words
 from .components import components
 
@@ -382,6 +382,11 @@ def linked_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     go through the R-tree over sketches of their points, and every pair that it and the points themselves
     cannot exclude is verified. Rows of one doc_id with different texts are one document with several sets.
     """
+    with small_batches(docs.sparkSession):
+        return _linked_classes(docs, rule)
+
+
+def _linked_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     meta = stage(_sets(docs, rule), "sets")
     full = meta.filter("n > 0 and doc_id is not null")
     classes = stage(full.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")

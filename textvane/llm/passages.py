@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stage
+from ..session import small_batches, stage
 from . import buckets, semijoin, words
 
 
@@ -266,6 +266,11 @@ def repeats(docs: DataFrame, shape: Shape, index: Index) -> Repeats:
     shorter than a window lose none. Rows with a null doc_id lose nothing and are held against nobody.
     Repeated rows of one doc_id are one document: none is smaller than the other.
     """
+    with small_batches(docs.sparkSession):
+        return _repeats(docs, shape, index)
+
+
+def _repeats(docs: DataFrame, shape: Shape, index: Index) -> Repeats:
     texts = stage(_texts(docs), "texts")
     long_enough = (F.col("n_words") >= shape.window) & F.col("doc_id").isNotNull()
     classes = stage(texts.filter(long_enough).groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "classes")
