@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from textvane.llm import automata, jaccard, language, mixing, neighbours, packing, passages, quality, suffixes, tokencounts, tokenizer, urls, words as llm_words
+from textvane.llm import automata, buckets, jaccard, language, mixing, neighbours, packing, passages, quality, suffixes, tokencounts, tokenizer, urls, words as llm_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string, lang string, n_words long"
@@ -202,6 +204,43 @@ def test_dedup_sends_texts_in_small_batches(spark, monkeypatch, module, run):
     assert spark.conf.get(name) == given
 
 
+def _most_bytes(run):
+    """The most memory in use at once while `run` works, and what it returns."""
+    tracemalloc.start()
+    try:
+        out = run()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_worker_memory_of_a_batch_of_texts():
+    rng = random.Random(4)
+    column = pa.array([" ".join(rng.choices(["lorem", "ip", "dolores", "am"], k=100)) for _ in range(7000)])
+    assert column.nbytes > 3 << 20
+    most, windows = _most_bytes(lambda: sum(len(passages.anchors(llm_words.split(column.slice(lo, hi - lo)), suffixes.SHAPE)[0])
+                                            for lo, hi in llm_words.chunks(column)))
+    assert windows == 7000 * 51 and most < 40 << 20
+    pairs = [(np.arange(i, i + 4096, dtype=np.uint64) << np.uint64(20), np.full(4096, i, np.uint64)) for i in range(200)]
+    packed = [b for b in buckets.rows(iter(pairs), 4)]
+    assert sum(len(x) for b in packed for x in b.column(1).to_pylist()) == 8 * 200 * 4096
+    assert max(b.nbytes for b in packed) < 3 << 20
+
+
+def test_shard_is_numbered_without_an_object_a_word():
+    rng = random.Random(6)
+    runs = [[rng.choice("abcdefgh") + str(rng.randrange(4000)) for _ in range(70)] for _ in range(2000)]
+    texts = pa.chunked_array([pa.array([" ".join(x).encode() for x in runs[:900]]), pa.array([" ".join(x).encode() for x in [*runs[900:], *runs[:10]]])])
+    at, anchor = np.full(2010, 31, np.int32), np.append(np.arange(2000), np.arange(10))
+    docs = np.append(np.arange(2000) + 100, np.arange(10))
+    most, found = _most_bytes(lambda: suffixes.index(passages.numbered(texts), at, anchor, docs, 50))
+    assert most < 8 << 20
+    numbers = passages.numbered(texts)
+    assert [len(set(x.tolist())) for x in numbers] == [len(set(x)) for x in [*runs, *runs[:10]]]
+    assert len(np.unique(np.concatenate(numbers))) == len({w for x in runs for w in x})
+    assert found.to_pylist() == [[d % 100 if d < 110 else d] * 21 for d in docs.tolist()]
+
+
 def test_strip_repeats_keeps_columns_and_other_text(docs):
     rows = {r["doc_id"]: r for r in suffixes.dedup(docs).rows.collect()}
     out = suffixes.strip_repeats(docs)

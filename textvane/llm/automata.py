@@ -10,6 +10,7 @@ built in the task where its shard's stretches meet and is not sent to all tasks.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .passages import Repeats, Shape, repeats
@@ -85,14 +86,12 @@ class Automaton:
         return out
 
 
-def index(texts: list[list[bytes]], at: np.ndarray, anchor: np.ndarray, docs: np.ndarray, window: int) -> list[list[int]]:
-    numbers: dict[bytes, int] = {}
-    runs = [[numbers.setdefault(x, len(numbers)) for x in text] for text in texts]
+def index(runs: list[np.ndarray], at: np.ndarray, anchor: np.ndarray, docs: np.ndarray, window: int) -> pa.ListArray:
     automaton = Automaton()
     for run, doc in zip(runs, docs.tolist(), strict=True):
-        automaton.add(run, doc)
+        automaton.add(run.tolist(), doc)
     automaton.finish()
-    return [automaton.firsts(run, window) for run in runs]
+    return pa.array([automaton.firsts(run.tolist(), window) for run in runs], pa.list_(pa.int64()))
 
 
 def dedup(docs: DataFrame, shape: Shape = SHAPE) -> Repeats:

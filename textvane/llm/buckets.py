@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 SCHEMA = "bucket int, keys binary, vals binary"
 # Pairs that one bucket holds on average; a bucket is worked on in one task's memory.
 BUCKET_PAIRS = 1 << 18
+# Pairs that a task gathers before it sends them on; each lies several times in the worker and in the JVM.
+HELD_PAIRS = 1 << 17
 
 
 def count_for(pairs: int) -> int:
@@ -24,7 +26,7 @@ def rows(pairs: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterat
     for keys, vals in pairs:
         held.append((keys, vals))
         have += len(keys)
-        if have >= max(1 << 19, 64 * buckets):
+        if have >= max(HELD_PAIRS, 64 * buckets):
             yield _cut(held, buckets)
             held, have = [], 0
     if have:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import small_batches, stage
@@ -32,8 +33,8 @@ class Shape:
     shard_words: int
 
 
-# (stretches as lists of words, place of the anchor in each, anchor, doc_id) -> of each window the first document.
-Index = Callable[[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, int], list[list[int]]]
+# (stretches as runs of word numbers, place of the anchor in each, anchor, doc_id) -> of each window the first document.
+Index = Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int], pa.ListArray]
 
 
 def anchors(w: words.Words, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,6 +181,15 @@ def _heavy_hits(stretches: DataFrame, shape: Shape) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
 
 
+def numbered(passages: pa.ChunkedArray) -> list[np.ndarray]:
+    """The words of each passage, joined by one space, as numbers; equal words have equal numbers."""
+    lists = pc.split_pattern(passages, " ")
+    coded = pc.list_flatten(lists).dictionary_encode()
+    numbers = np.concatenate([x.indices.to_numpy() for x in coded.chunks] or [np.zeros(0, np.int32)])
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    return np.split(numbers, ends[:-1])
+
+
 def _first_documents(stretches: DataFrame, shape: Shape, index: Index) -> DataFrame:
     """(anchor, p1, p2, firsts): of each window of a different stretch the smallest doc_id that has it."""
     total = stretches.agg(F.sum(F.col("windows") + shape.window)).first()[0] or 0
@@ -187,9 +197,8 @@ def _first_documents(stretches: DataFrame, shape: Shape, index: Index) -> DataFr
     once = stretches.groupBy("anchor", "p1", "p2").agg(F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("passage").alias("passage"))
 
     def search(table: pa.Table) -> pa.Table:
-        texts = [x.split(b" ") for x in table.column("passage").to_pylist()]
-        found = index(texts, table.column("at").to_numpy(), table.column("anchor").to_numpy(), table.column("doc_id").to_numpy(), shape.window)
-        return table.select(["anchor", "p1", "p2"]).append_column("firsts", pa.array(found, pa.list_(pa.int64())))
+        found = index(numbered(table.column("passage")), table.column("at").to_numpy(), table.column("anchor").to_numpy(), table.column("doc_id").to_numpy(), shape.window)
+        return table.select(["anchor", "p1", "p2"]).append_column("firsts", found)
 
     return once.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(
         search, "anchor long, p1 long, p2 long, firsts array<long>")

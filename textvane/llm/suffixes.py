@@ -9,6 +9,7 @@ and as far left as in the other; a window is repeated where both together span i
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
@@ -18,7 +19,7 @@ from .passages import Repeats, Shape, repeats
 SHAPE = Shape(window=50, anchor=8, shard_words=1_000_000)
 
 
-def _sorted(parts: list[list[int]], anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(parts: list[np.ndarray], anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the parts (first by anchor) and the common prefix of each with the one before it."""
     n = len(parts)
     table = np.full((n, width), -1, np.int64)
@@ -36,16 +37,16 @@ def _sorted(parts: list[list[int]], anchor: np.ndarray, width: int) -> tuple[np.
     return order, common
 
 
-def index(texts: list[list[bytes]], at: np.ndarray, anchor: np.ndarray, docs: np.ndarray, window: int) -> list[list[int]]:
-    numbers: dict[bytes, int] = {}
-    runs = [[numbers.setdefault(x, len(numbers)) for x in text] for text in texts]
+def index(runs: list[np.ndarray], at: np.ndarray, anchor: np.ndarray, docs: np.ndarray, window: int) -> pa.ListArray:
     n = len(runs)
     right = [run[a:a + window] for run, a in zip(runs, at, strict=True)]
     left = [run[:a][::-1] for run, a in zip(runs, at, strict=True)]
     right_order, right_common = _sorted(right, anchor, window)
     left_order, left_common = _sorted(left, anchor, window)
     right_size, left_size = np.array([len(x) for x in right]), np.array([len(x) for x in left])
-    out: list[list[int | None]] = [[None] * (len(run) - window + 1) for run in runs]
+    # Windows of all runs one after the other.
+    first = np.concatenate([[0], np.cumsum([max(0, len(run) - window + 1) for run in runs])])
+    out, known = np.zeros(first[-1], np.int64), np.zeros(first[-1], bool)
     for back in range(int(left_size.max(initial=0)) + 1):
         ahead = window - back
         has = np.flatnonzero((left_size >= back) & (right_size >= ahead))
@@ -58,9 +59,9 @@ def index(texts: list[list[bytes]], at: np.ndarray, anchor: np.ndarray, docs: np
         _, which = np.unique(group[0, has] * (n + 1) + group[1, has], return_inverse=True)
         least = np.full(which.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, which, docs[has])
-        for i, doc in zip(has, least[which].tolist(), strict=True):
-            out[i][at[i] - back] = doc
-    return out
+        place = first[has] + at[has] - back
+        out[place], known[place] = least[which], True
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(out, mask=~known))
 
 
 def dedup(docs: DataFrame, shape: Shape = SHAPE) -> Repeats:

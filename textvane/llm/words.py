@@ -14,8 +14,9 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-# Rows are worked on in chunks of about this many bytes, so memory does not follow the batch size.
-CHUNK_BYTES = 2 << 20
+# Rows are worked on in chunks of about this many bytes, so memory does not follow the batch size. Work on
+# a chunk takes over twenty times its bytes, and an executor's workers keep much of that for later tasks.
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
