@@ -186,6 +186,37 @@ def test_a_user_of_a_few_million_rows_is_one_block_of_plain_numbers(spark, monke
         assert all(end <= 0.01 * start * (1 + 1e-9) for end, start in got.values())
 
 
+def test_rounds_over_parts_move_only_the_words_a_fit_is_solved_for(spark, monkeypatch):
+    monkeypatch.setattr(linear, "FIRST_WORDS", 20, raising=False)
+    rng = random.Random(11)
+    documents = [("1" if i % 3 else "0", " ".join(rng.choice([f"k{i % 3}{rng.randrange(3)}", f"w{rng.randrange(900)}"]) for _ in range(30))) for i in range(60)]
+    rows = linear.with_folds(examples_of(spark, documents), loo_limit=20, folds=2)
+    staged, stage = [], linear.stage
+    monkeypatch.setattr(linear, "stage", lambda df, label: staged.append((label, stage(df, label))) or staged[-1][1])
+    monkeypatch.setattr(linear, "discard", lambda *given: None)
+    weights = linear.fit_linear(rows, tol=0.05, block_rows=150).collect()
+    got = violations(weights, rows.collect())
+    assert len(got) == 6 and all(end <= 0.05 * start * (1 + 1e-9) for end, start in got.values())
+    # Before, every round wrote a row for each word of each fit three times over, and each fit took many rounds.
+    words = rows.select("word").distinct().count()
+    assert sum(df.count() for label, df in staged if label not in ("weights", "block_rows")) < words * 6
+    parts = dict(staged)["word_parts"]
+    assert parts.count() > 5 and parts.select(F.sum(F.size("words"))).first()[0] == words
+    some = [r for label, df in staged if label == "measured" for r in df.collect()]
+    assert sum(len(r["words"]) for r in some) < words * 6
+
+
+def test_long_steps_end_where_short_ones_do():
+    rng = np.random.default_rng(3)
+    item, word = (x.astype(np.int32) for x in np.unravel_index(rng.permutation(60 * 25)[:600], (60, 25)))
+    value, sign, seen = rng.integers(1, 4, 600).astype(np.uint8), rng.choice([-1.0, 1.0], 60), np.arange(60) % 5 > 0
+    by_item, by_word = linear._Sums(item, word, value, 60), linear._Sums(word, item, value, 25)
+    assert by_item.at.dtype == np.int32
+    curve, curve_b = linear._curvature(item, word, value.astype(float), 60, 25, 5.0)
+    ends = [f(by_item.of, by_word.of, curve, curve_b, sign * seen, np.zeros(25), 0.0, 5.0, 1e-6, 20_000) for f in (linear._descend, linear._descend_long)]
+    assert np.allclose(ends[0][0], ends[1][0], atol=1e-4) and ends[0][1] == pytest.approx(ends[1][1], abs=1e-4)
+
+
 def test_steps_of_a_fit_order_their_rows_once(monkeypatch):
     rng = np.random.default_rng(5)
     item, word = (x.astype(np.int32) for x in np.unravel_index(rng.permutation(40 * 30)[:500], (40, 30)))
