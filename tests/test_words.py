@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -90,6 +91,24 @@ def test_labelled_texts_are_written_by_the_tasks_one_a_file(spark, rows, tmp_pat
     assert rows(read_labelled_dirs(spark, write_labelled_dirs(df.limit(0), str(tmp_path / "none")))) == []
 
 
+def test_folders_of_texts_are_listed_by_the_tasks_that_read_them(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr("textvane.sources.textfiles.FOLDER_TEXTS", 4)
+    monkeypatch.setattr("textvane.sources.textfiles.READ_BYTES", 20)
+    df = spark.createDataFrame([(f"in_{i % 3}", f"tekst {i} å") for i in range(30)], "label string, text string").repartition(3)
+    folders = write_labelled_dirs(df, str(tmp_path / "ours"))
+    # Files named after the reader was made are read too: nobody listed them before.
+    read = read_labelled_dirs(spark, folders)
+    (tmp_path / "ours" / os.path.basename(folders[0]) / "label=late").mkdir()
+    (tmp_path / "ours" / os.path.basename(folders[0]) / "label=late" / "0.txt").write_bytes(b"late\xff\n")
+    assert not read.inputFiles() and "FileScan" not in read._jdf.queryExecution().toString()
+    got = {(r["label"], bytes(r["raw"])) for r in read.select("label", F.col("text").cast("binary").alias("raw")).collect()}
+    assert got == {(f"label=in_{i % 3}", f"tekst {i} å\n".encode()) for i in range(30)} | {("label=late", b"late\xff\n")}
+    assert read.count() == 31
+    odd = spark.createDataFrame([(label, "x") for label in ("på ny", "a|b<c>", "50%", "d`e~f", "g}h,i@j", "k\u00a0l\u2003m", "50 %25+&;$!()")], "label string, text string").coalesce(1)
+    folders = write_labelled_dirs(odd, str(tmp_path / "odd"))
+    assert rows(read_labelled_dirs(spark, folders)) == rows(read_labelled_dirs(spark, str(tmp_path / "odd")))
+
+
 def entries(spark, *pairs):
     return spark.createDataFrame([(b, f, "subst", i) for i, (b, f) in enumerate(pairs)], "base string, full string, clazz string, line_no int")
 

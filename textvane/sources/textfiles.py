@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Texts below one folder of `write_labelled_dirs`, so that many folders can be listed side by side.
 FOLDER_TEXTS = 5_000
-# Tasks for each such folder when it is read: one for every few files, as by default, would cost more than reading them.
-READ_TASKS = 2
+# Bytes of texts that a task which reads them holds at a time.
+READ_BYTES = 4 << 20
 # What Spark's writers put for a null, and the characters they escape in the name of a directory.
 NULL_DIRECTORY = "__HIVE_DEFAULT_PARTITION__"
 ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+# The characters that are escaped once more where Spark names a file.
+QUOTED = re.compile("[\x00-\x20\"#%<>?\\[\\\\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def read_lines(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
@@ -85,13 +88,40 @@ def write_labelled_dirs(texts: DataFrame, path: str) -> list[str]:
     return [os.path.join(path, r["folder"]) for r in plain.mapInArrow(_write_texts(path), "folder string").collect()]
 
 
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.binary())], ["label", "text"])
+
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, root = fs.FileSystem.from_uri(folder)
+            for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
+                if info.type != fs.FileType.File:
+                    continue
+                with store.open_input_stream(info.path, compression=None) as given:
+                    held.append((QUOTED.sub(lambda c: quote(c[0]), info.path.rsplit("/", 2)[-2]), given.read()))
+                size += len(held[-1][1])
+                if size >= READ_BYTES:
+                    yield sent()
+                    held, size = [], 0
+    if held:
+        yield sent()
+
+
 def read_labelled_dirs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(label, text): whole files below one or several folders, labelled with the name of their directory."""
+    """(label, text): whole files below one folder, or several folders of write_labelled_dirs, labelled with the name of their directory.
+
+    Several folders are listed by the tasks that read them: the driver never holds the names of their files.
+    """
     if not path:
         return spark.createDataFrame([], "label string, text string")
-    files = spark.read.option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path), wholetext=True)
     if not isinstance(path, str):
-        files = files.coalesce(max(READ_TASKS * len(path), 4 * spark.sparkContext.defaultParallelism))
+        folders = spark.createDataFrame([(p,) for p in path], "folder string").repartition(len(path))
+        read = folders.mapInArrow(_read_texts, "label string, text binary")
+        return read.select("label", F.col("text").cast("string").alias("text"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("label"),
         F.col("value").alias("text"),
